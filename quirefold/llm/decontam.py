@@ -140,6 +140,17 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     )
 
 
+def keep_clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_words: int = 20_000_000) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    slices = _item_slices(benchmark_items(bench), slice_words)
+    first = next(slices)
+    if next(slices, None) is None:
+        return map_batches(docs, _Clean(docs.sparkSession.sparkContext.broadcast(WindowIndex(first)), text), docs.schema)
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
+    found = contamination(docs.withColumn(doc_id, key), bench, doc_id, text, slice_words).where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)
+
+
 def _chain(head, tail):
     yield head
     yield from tail
@@ -167,6 +178,26 @@ class _Hits:
                 yield pa.RecordBatch.from_arrays([keys, pa.array(w.counts[row]), pa.array([index.owner[i] for i in win], pa.string()), pa.array(start - w.first[row]), pa.array(index.length[win])], ["row_key", "n_words", "item_id", "start", "length"])
 
 
+def _hit_counts(index: WindowIndex, w: T.Words):
+    win, start = index.hits(w)
+    edge = np.zeros(len(w) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + index.length[win], -1)
+    return win, start, w.by_row(np.cumsum(edge[:-1]) > 0)
+
+
+class _Clean:
+    def __init__(self, index, text):
+        self.index, self.text = index, text
+
+    def __call__(self, batches):
+        for b in batches:
+            for r0, r1, data, offs in T.blocks(T.column(b, self.text)):
+                w = T.Words(data, offs, T.ALNUM, True)
+                *_, n_hit = _hit_counts(self.index.value, w)
+                yield b.slice(r0, r1 - r0).filter(pa.array((n_hit == 0) | (20 * n_hit < w.counts)))
+
+
 class _Digest:
     def __init__(self, index):
         self.index = index
@@ -176,11 +207,7 @@ class _Digest:
         for b in batches:
             for r0, r1, data, offs in T.blocks(T.column(b, "text")):
                 w = T.Words(data, offs, T.ALNUM, True)
-                win, start = index.hits(w)
-                edge = np.zeros(len(w) + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + index.length[win], -1)
-                n_hit = w.by_row(np.cumsum(edge[:-1]) > 0)
+                win, start, n_hit = _hit_counts(index, w)
                 items = [[] for _ in range(r1 - r0)]
                 for r, i in {(r, index.owner[i]) for r, i in zip(w.row[start].tolist(), win.tolist(), strict=True)}:
                     items[r].append(i)
