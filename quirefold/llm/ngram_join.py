@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, one of each group: the row of the smallest id (of equal rows, one; wordless ones all stay)."""
     found = near_duplicates(docs, doc_id, text)
-    first = found.where("n_grams > 0").groupBy("group_key").agg(F.min(F.struct("doc_id", "row_key")).alias("row"))
+    first = found.where("n_grams > 0").groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row"))
     stay = first.select(F.col("row.row_key").alias("__row_key"), F.lit(True).alias("__one")).unionByName(found.where("n_grams = 0").select(F.col("row_key").alias("__row_key"), F.lit(False).alias("__one")).distinct())
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
     nth = F.row_number().over(Window.partitionBy("__row_key").orderBy(F.lit(0)))  # rows of one key are equal in id and text
