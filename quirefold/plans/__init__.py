@@ -1,4 +1,4 @@
 """All registered queries of the notation and document operators."""
 
-from . import notation  # noqa: F401
+from . import notation, text  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
