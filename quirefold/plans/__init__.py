@@ -1,4 +1,4 @@
 """All registered queries of the notation and document operators."""
 
-from . import assembly, notation, progress, text  # noqa: F401
+from . import assembly, geometry, notation, progress, text  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
