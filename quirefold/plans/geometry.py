@@ -78,13 +78,13 @@ def joi_16(spark, sf_dir):
     return o.where("next_id is not null")
 
 
-@query("flt_13", f"WITH {_B}, o AS (SELECT page, id, y2 - y1 >= 102 AS monster, cls = 'staff' AND lead(cls) OVER w = 'staff' AND lead(y1) OVER w - y2 BETWEEN 0 AND 72.25 AS split FROM b WINDOW w AS (PARTITION BY page ORDER BY y1, id)) SELECT page, count_if(monster)::BIGINT AS monsters, count_if(split)::BIGINT AS splits FROM o GROUP BY page")
+@query("flt_13", f"WITH {_B}, o AS (SELECT page, id, y2 - y1 >= 102 AS monster, coalesce(cls = 'staff' AND lead(cls) OVER w = 'staff' AND lead(y1) OVER w - y2 BETWEEN 0 AND 72.25, false) AS split FROM b WINDOW w AS (PARTITION BY page ORDER BY y1, id)) SELECT page, count_if(monster)::BIGINT AS monsters, count_if(split)::BIGINT AS splits FROM o GROUP BY page")
 def flt_13(spark, sf_dir):
     """Layout anomalies of a page."""
     w = Window.partitionBy("page").orderBy("y1", "id")
     gap = F.lead("y1").over(w) - F.col("y2")
     split = (F.col("cls") == "staff") & (F.lead("cls").over(w) == "staff") & gap.between(0, 72.25)
-    o = boxes(spark, sf_dir).select("page", (F.col("y2") - F.col("y1") >= 102).alias("monster"), split.alias("split"))
+    o = boxes(spark, sf_dir).select("page", (F.col("y2") - F.col("y1") >= 102).alias("monster"), F.coalesce(split, F.lit(False)).alias("split"))
     return o.groupBy("page").agg(F.count_if("monster").alias("monsters"), F.count_if("split").alias("splits"))
 
 
