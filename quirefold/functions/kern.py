@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Standard durations in quarter beats, in the order that ties prefer.
 STANDARD_BEATS = (0.125, 0.25, 0.375, 0.5, 0.75, 1.0, 1.5, 2.0, 4.0)
 
@@ -52,7 +54,7 @@ def spines_valid(lines: Column) -> Column:
     One pass with the number of active columns as state: a split adds a column, a run of
     merges leaves one.  The first line sets the number; some line has to be a header.
     """
-    rows = F.transform(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("!"))), lambda x: F.split(F.trim(x), "\t"))
+    rows = F.transform(F.filter(lines, lambda x: (strip(x) != "") & ~F.startswith(x, F.lit("!"))), lambda x: F.split(strip(x), "\t"))
 
     def after(t):
         merges = F.aggregate(t, F.struct(F.lit(0).alias("n"), F.lit(False).alias("in_run")), lambda s, x: F.struct((s["n"] + F.when(x == "*^", 2).when((x == "*v") & s["in_run"], 0).otherwise(1)).alias("n"), (x == "*v").alias("in_run")))

@@ -19,12 +19,17 @@ def book_title(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(safe, r"^[. ]+|[. ]+$", ""), F.lit("")), F.lit(UNNAMED))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
 def strip_fences(text: Column) -> Column:
     """Without thinking passages and one Markdown fence around the whole."""
-    out = F.trim(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
-    out = F.trim(F.regexp_replace(out, r"(?s)\A.*?</think>", ""))
-    out = F.trim(F.regexp_replace(out, r"\A```(markdown|md)?", ""))
-    return F.trim(F.regexp_replace(out, r"```\z", ""))
+    out = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
+    out = strip(F.regexp_replace(out, r"(?s)\A.*?</think>", ""))
+    out = strip(F.regexp_replace(out, r"\A```(markdown|md)?", ""))
+    return strip(F.regexp_replace(out, r"```\z", ""))
 
 
 def cut_inline_loops(text: Column) -> Column:
@@ -34,10 +39,10 @@ def cut_inline_loops(text: Column) -> Column:
 
 def streaming_loop(tail: Column) -> Column:
     """Whether a text ends in a phrase (8 to 120 characters) or in a block of 1 to 5 lines three times over."""
-    s = F.regexp_replace(tail, r"^\s+|\s+$", "")
+    s = strip(tail)
     most = F.least(F.lit(120), F.floor(F.length(s) / 3).cast("int"))
     phrase = F.when(most >= 8, F.exists(F.sequence(F.lit(8), F.greatest(most, F.lit(8))), lambda m: F.endswith(s, F.repeat(F.right(s, m), 3)))).otherwise(False)
-    lines = F.filter(F.transform(F.split(tail, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(tail, "\n"), lambda x: strip(x)), lambda x: x != "")
     n = F.size(lines)
     block = F.exists(F.array(*map(F.lit, range(1, 6))), lambda p: (n >= p * 3) & (F.slice(lines, F.greatest(n - p + 1, F.lit(1)), p) == F.slice(lines, F.greatest(n - 2 * p + 1, F.lit(1)), p)) & (F.slice(lines, F.greatest(n - p + 1, F.lit(1)), p) == F.slice(lines, F.greatest(n - 3 * p + 1, F.lit(1)), p)))
     return F.coalesce((F.length(tail) >= 24) & (phrase | block), F.lit(False))
@@ -59,7 +64,7 @@ def stub_class(stub: Column) -> Column:
 
 
 def fenced(kind: str, body: Column) -> Column:
-    return F.concat(F.lit(f"```{kind}\n"), F.trim(body), F.lit("\n```"))
+    return F.concat(F.lit(f"```{kind}\n"), strip(body), F.lit("\n```"))
 
 
 def keep_lines(lines: list[str], most: int = 2) -> list[str]:

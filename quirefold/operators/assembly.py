@@ -27,9 +27,9 @@ def block(abc: Column, kern: Column, include_abc: bool = True, include_kern: boo
     """The fences of one stub; null where it has no usable notation."""
     parts = []
     if include_abc:
-        parts.append(F.when((F.coalesce(F.trim(abc), F.lit("")) != "") & ~F.startswith(abc, F.lit(X.FAILED)), X.fenced("abc", abc)))
+        parts.append(F.when((F.coalesce(X.strip(abc), F.lit("")) != "") & ~F.startswith(abc, F.lit(X.FAILED)), X.fenced("abc", abc)))
     if include_kern:
-        parts.append(F.when(F.coalesce(F.trim(kern), F.lit("")) != "", X.fenced("kern", kern)))
+        parts.append(F.when(F.coalesce(X.strip(kern), F.lit("")) != "", X.fenced("kern", kern)))
     return F.nullif(F.concat_ws("\n\n", *parts), F.lit("")) if parts else F.lit(None).cast("string")
 
 

@@ -13,6 +13,7 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import boxes as B
 
@@ -60,7 +61,7 @@ def staves_inside(blocks: DataFrame, staves: DataFrame, spacing: float = 8.5) ->
 
 def by_page(boxes: DataFrame, fn: Callable[[list[dict]], list[dict]]) -> DataFrame:
     """Apply fn to the boxes of each page (few by nature), streaming over partitions dealt and sorted by page."""
-    names = boxes.columns
+    kind = to_arrow_schema(boxes.schema)
 
     def run(batches):
         def rows():
@@ -71,10 +72,10 @@ def by_page(boxes: DataFrame, fn: Callable[[list[dict]], list[dict]]) -> DataFra
         for _, page in groupby(rows(), key=lambda r: r["page"]):
             out += fn(list(page))
             if len(out) > 5000:
-                yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out])
+                yield pa.RecordBatch.from_pylist(out, kind)
                 out = []
         if out:
-            yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out])
+            yield pa.RecordBatch.from_pylist(out, kind)
 
     return boxes.repartition("page").sortWithinPartitions("page").mapInArrow(run, boxes.schema)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kern import beats, expected_beats, pitch
+from ..functions.text import strip
 
 
 def by_line():
@@ -19,7 +20,7 @@ def by_line():
 
 def kern_lines(docs: DataFrame) -> DataFrame:
     """(doc, pos, line, kind, bars): non-empty lines without comments; bars counts the barlines up to a line."""
-    lines = docs.select("doc", F.posexplode(F.split("raw_kern", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    lines = docs.select("doc", F.posexplode(F.split("raw_kern", "\n")).alias("pos", "line")).withColumn("line", strip(F.col("line")))
     lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("!"))
     kind = F.when(F.col("line").startswith("*"), "*").when(F.col("line").startswith("="), "=").otherwise("data")
     lines = lines.withColumn("kind", kind)
@@ -103,7 +104,7 @@ def validate(docs: DataFrame, spines_ok: Column | None = None) -> DataFrame:
     tab = F.col("raw_kern").contains("*clefTAB") | F.col("raw_kern").contains("*stria")
     crowded, dense = (w > 0) & (w < 250) & (notes > 20), (w > 0) & (F.col("density") > 18.0) & (w < 400)
     dropped, sparse = (w >= 600) & (notes == 0), (w >= 800) & (notes <= 1) & (rests <= 1)
-    missing = F.coalesce(F.trim("raw_kern") == "", F.lit(True)) | F.col("raw_kern").startswith("% [OMR")
+    missing = F.coalesce(strip(F.col("raw_kern")) == "", F.lit(True)) | F.col("raw_kern").startswith("% [OMR")
     rules = [  # (holds, name, penalty)
         (~F.col("spines_ok"), "SPINE_MISALIGNMENT", F.lit(0.5)),
         (tab, "TABLATURE_CONTAMINATION", F.lit(0.4)),
