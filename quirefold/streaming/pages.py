@@ -21,8 +21,8 @@ def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def each_batch(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None]) -> None:
-    query = stream.writeStream.option("checkpointLocation", f"{folder}/marks").foreachBatch(sink).trigger(availableNow=True).start()
+def each_batch(stream: DataFrame, folder: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/marks").foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
