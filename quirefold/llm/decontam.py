@@ -43,39 +43,38 @@ class WindowIndex:
     """Windows of a slice of the benchmark under their rarest shingle."""
 
     def __init__(self, items: pa.Table, window: int = WINDOW, shingle: int = SHINGLE):
-        owner, words, length = [], [], []
-        ids = items.column("item_id").to_pylist()
+        flat, begin, length, owner, base = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for batch in items.combine_chunks().to_batches():
-            for r0, _, data, offs in T.blocks(batch.column("text")):
+            for r0, r1, data, offs in T.blocks(batch.column("text")):
                 w = T.Words(data, offs, T.ALNUM, True)
-                for r in range(len(offs) - 1):
-                    a, b = int(w.first[r]), int(w.first[r + 1])
-                    k = min(window, b - a)
-                    for s in range(a, b - k + 1) if k else ():
-                        owner.append(ids[r0 + r])
-                        length.append(k)
-                        words.append(np.pad(w.hash[s : s + k], (0, window - k)))
-        self.owner, self.window = owner, window
-        self.length = np.array(length, np.int64)
-        self.words = np.array(words, np.uint64).reshape(-1, window)
-        self.sizes = sorted({min(shingle, k) for k in length})
+                size = np.minimum(window, w.counts)
+                many = np.where(size > 0, w.counts - size + 1, 0)
+                ramp = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                flat.append(w.hash)
+                begin.append(base + np.repeat(w.first[:-1], many) + ramp)
+                length.append(np.repeat(size, many))
+                owner.append(np.repeat(np.arange(r0, r1), many))
+                base += len(w)
+        self.items = items.column("item_id").to_pylist()
+        self.flat, self.window = np.concatenate(flat), window
+        self.begin, self.owner = np.concatenate(begin).astype(np.int32), np.concatenate(owner).astype(np.int32)
+        self.length = np.concatenate(length).astype(np.int8)
         self.tables = {}
-        for q in self.sizes:
+        for q in np.unique(np.minimum(shingle, self.length)).tolist():
             own = np.flatnonzero(np.minimum(shingle, self.length) == q)
-            grams = np.zeros((len(own), window - q + 1), np.uint64)
-            valid = np.arange(window - q + 1)[None, :] <= (self.length[own] - q)[:, None]
-            for o in range(window - q + 1):
-                flat = np.ascontiguousarray(self.words[own, o : o + q])
-                grams[:, o] = T.mix((flat * T._words.upto(q)[0][:q]).sum(1, dtype=np.uint64))
-            distinct, inverse, count = np.unique(grams[valid], return_inverse=True, return_counts=True)
-            rarity = np.full(grams.shape, np.iinfo(np.int64).max)
-            rarity[valid] = count[inverse]
-            # the rarest, then the smallest hash, then the first place
-            best = np.lexsort((np.broadcast_to(np.arange(grams.shape[1]), grams.shape), grams, rarity), axis=1)[:, 0]
-            key = grams[np.arange(len(own)), best]
+            at = np.arange(len(self.flat) - q + 1)
+            grams = T.prefix_hash(self.flat, T._words)(at, at + q)
+            _, inverse, count = np.unique(grams, return_inverse=True, return_counts=True)
+            rarity = count[inverse]
+            place = np.zeros(len(own), np.int32)
+            key, rare = grams[self.begin[own]], rarity[self.begin[own]]
+            for o in range(1, window - q + 1):  # the rarest, then the smallest hash, then the first place
+                now = np.minimum(self.begin[own] + o, len(grams) - 1)
+                better = (o <= self.length[own] - q) & ((rarity[now] < rare) | ((rarity[now] == rare) & (grams[now] < key)))
+                place[better], key[better], rare[better] = o, grams[now][better], rarity[now][better]
             order = np.argsort(key, kind="stable")
-            table, begin = np.unique(key[order], return_index=True)
-            self.tables[q] = (T.Filter(table), np.append(begin, len(own)), own[order], best[order])
+            table, first = np.unique(key[order], return_index=True)
+            self.tables[q] = (T.Filter(table), np.append(first, len(own)).astype(np.int32), own[order].astype(np.int32), place[order])
 
     def hits(self, w: T.Words) -> tuple[np.ndarray, np.ndarray]:
         """(window, first word) of every verified occurrence in a block."""
@@ -91,7 +90,8 @@ class WindowIndex:
             win, start = win[ok], start[ok]
             for o in range(self.window):  # all words, one place after the other
                 i = np.minimum(start + o, len(w) - 1)
-                same = (self.length[win] <= o) | (w.hash[i] == self.words[win, o])
+                want = self.flat[np.minimum(self.begin[win] + o, len(self.flat) - 1)]
+                same = (self.length[win] <= o) | (w.hash[i] == want)
                 win, start = win[same], start[same]
             found.append((win, start))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -114,7 +114,7 @@ def benchmark_items(bench: DataFrame, item_id: str = "item_id", text: str = "tex
     return bench.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
 
 
-def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_words: int = 20_000_000) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_words: int = 2_000_000) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
     out = DIGEST + ", item_ids array<string>"
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     )
 
 
-def keep_clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_words: int = 20_000_000) -> DataFrame:
+def keep_clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", slice_words: int = 2_000_000) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     slices = _item_slices(benchmark_items(bench), slice_words)
     first = next(slices)
@@ -175,7 +175,7 @@ class _Hits:
                 win, start = index.hits(w)
                 row = w.row[start]
                 keys = T.column(b, "row_key")[r0:r1].take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(w.counts[row]), pa.array([index.owner[i] for i in win], pa.string()), pa.array(start - w.first[row]), pa.array(index.length[win])], ["row_key", "n_words", "item_id", "start", "length"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(w.counts[row]), pa.array([index.items[i] for i in index.owner[win]], pa.string()), pa.array(start - w.first[row]), pa.array(index.length[win].astype(np.int64))], ["row_key", "n_words", "item_id", "start", "length"])
 
 
 def _hit_counts(index: WindowIndex, w: T.Words):
@@ -209,10 +209,9 @@ class _Digest:
                 w = T.Words(data, offs, T.ALNUM, True)
                 win, start, n_hit = _hit_counts(index, w)
                 items = [[] for _ in range(r1 - r0)]
-                for r, i in {(r, index.owner[i]) for r, i in zip(w.row[start].tolist(), win.tolist(), strict=True)}:
-                    items[r].append(i)
-                for x in items:
-                    x.sort()
+                for r, i in set(zip(w.row[start].tolist(), index.owner[win].tolist(), strict=True)):
+                    items[r].append(index.items[i])
+                items = [sorted(set(x)) for x in items]
                 yield pa.RecordBatch.from_arrays(
                     [T.column(b, "doc_id")[r0:r1], pa.array(w.counts), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else empty for x in items]), pa.array((n_hit > 0) & (20 * n_hit >= w.counts)), pa.array(items, pa.list_(pa.string()))],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"],
