@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import pretoken as P
 from . import textscan as T
-from .shared import map_batches, stored
+from .shared import hold, map_batches, stored
 
 WASTE = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,7 +42,7 @@ _loaded: dict[str, Tokens] = {}
 class Tokens:
     """Token ids of texts, piece by piece of the pre-tokenizer, each distinct piece encoded once."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -99,6 +99,7 @@ class _Cut:
     def __call__(self, batches):
         if self.path not in _loaded:
             _loaded[self.path] = Tokens(self.path)
+            hold("packing", _loaded.clear)
         tokens, size = _loaded[self.path], self.size
         for b in batches:
             for r0, r1, texts in P.text_lists(b):
@@ -118,7 +119,7 @@ class _Cut:
 def cut_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(docs, _Cut(path, size, end_id), PIECES)
+    return map_batches(docs, _Cut(path, size, end_id), PIECES, "packing")
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, ...]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
@@ -32,9 +34,39 @@ def ship_package(spark: SparkSession) -> None:
     sc._quirefold_shipped = True
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+#: What workers keep from task to task, by owner: a function that lets go of it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    _held[owner] = clear
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks and operators."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+class _Task:
+    """Runs a map function; first lets go of what other operators keep in this worker."""
+
+    def __init__(self, fn, owner: str | None):
+        self.fn, self.owner = fn, owner
+
+    def __call__(self, batches):
+        for owner in [o for o in _held if o != self.owner]:
+            _held.pop(owner)()
+        _trim()
+        yield from self.fn(batches)
+        _trim()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str | None = None) -> DataFrame:
+    """owner: whose kept things the function uses (see hold)."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(_Task(fn, owner), schema)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

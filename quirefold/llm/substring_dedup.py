@@ -37,7 +37,7 @@ from . import textscan as T
 from .shared import from_ipc, map_batches, stored, to_ipc
 
 WINDOW, GRAM = 20, 8
-UNIT_BYTES = (1 << 21, 1 << 25)  # least and most bytes of text in a unit (a longer text alone)
+UNIT_BYTES = (1 << 20, 1 << 25)  # least and most bytes of text in a unit (a longer text alone)
 BUCKET_BYTES = (1 << 25, 1 << 30)  # of text for one bucket
 _NO_ID = np.iinfo(np.int64).max
 REPLY = "unit long, bucket int, bits binary"

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import pretoken as P
 from . import textscan as T
-from .shared import map_batches
+from .shared import hold, map_batches
 
 MOST_STATES = 400_000
 _loaded: dict[str, tuple] = {}
@@ -158,6 +158,7 @@ def loaded(path: str) -> tuple[Vocabulary, Transducer, P.Memo]:
     if path not in _loaded:
         v = Vocabulary(path)
         _loaded[path] = (v, Transducer(v), P.Memo())
+        hold("token_fst", _loaded.clear)
     return _loaded[path]
 
 
@@ -209,4 +210,4 @@ class _Count:
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """One row for each document: n_bytes, n_tokens, over_limit. path: a vocabulary file that executors have too."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(docs, _Count(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs, _Count(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", "token_fst")
