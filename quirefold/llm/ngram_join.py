@@ -16,6 +16,9 @@ text).  Two documents are *linked* if the Jaccard similarity of their sets is 0.
 The candidate group holds every pair that shares a band, so verification sees at least all
 banded pairs; recall is that of the bands or better.
 
+Sums and minima by group are written to the shared folder before they are joined back, so
+that both sides of such a join are plain shuffles and a hot group's partition can be split.
+
 Result, one row for each document: ``class_id`` (smallest doc_id of its group), ``text_id``
 (smallest doc_id of the same set), ``n_copies`` (documents of the same set, itself
 included), ``n_links`` (other documents linked to it: copies and similar ones) and
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import map_batches, stored
+from .shared import dropped, map_batches, stored
 
 GRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
 BLOCK = 128
@@ -106,10 +109,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         tied = both.join(least, "u").select("v", "m")
         new = tied.unionByName(least.select(F.col("u").alias("v"), "m")).where("v <> m")
-        edges = stored(new.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct(), "edges")
+        old, edges = edges, stored(new.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct(), "edges")
+        dropped(old, least)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -210,11 +214,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = signed.where("n > 0")
     classes = stored(found.groupBy("cls", "cls2").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.min("row_key").alias("row_key"), F.first("bands").alias("bands")), "classes")
     banded = classes.select("cls", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = stored(banded.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
     stars = banded.join(leaders, "band").where("cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     groups = stored(components(stars), "groups")
     # verification: a class is read once, by the key of one of its rows
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = stored(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     members = groups.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "row_key", "copies"), "node")
     members = members.select("row_key", F.col("node").alias("cls"), "root", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"), "copies")
     gram_sets = map_batches(docs.select("row_key", "text").join(members, "row_key").select("cls", "root", "blocks", "copies", "text"), _Sets(), "cls long, root long, blocks long, copies long, grams binary")
@@ -225,8 +229,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = stored(map_batches(keyed, _Verify(threshold), "u long, v long, links long, texts long"), "links")
     counts = links.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     roots = stored(components(links.select("u", "v")), "roots")
-    known = classes.select("cls", "text_id", "copies").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").join(counts, "cls", "left")
-    least = known.where("root is not null").groupBy("root").agg(F.min("text_id").alias("group_id"))
+    known = stored(classes.select("cls", "text_id", "copies").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").join(counts, "cls", "left"), "known")
+    least = stored(known.where("root is not null").groupBy("root").agg(F.min("text_id").alias("group_id")), "least")
     known = known.join(least, "root", "left").select("cls", "text_id", "copies", F.coalesce("group_id", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("root", "cls").alias("group_key"))
     out = signed.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(known, "cls", "left")
     return out.select(
