@@ -22,7 +22,6 @@ empty language, or null text, teach nothing; if nothing can be learned all are '
 
 from __future__ import annotations
 
-import math
 import unicodedata
 
 import numpy as np

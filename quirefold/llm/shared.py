@@ -5,34 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import io
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Let executors import this package also where PYTHONPATH does not lead to it."""
-    sc = spark.sparkContext
-    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT in on_path or getattr(sc, "_quirefold_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(), "quirefold_pkg.zip")  # read by the driver's file server only
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(_ROOT, "quirefold")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, _ROOT))
-    sc.addPyFile(path)
-    sc._quirefold_shipped = True
-
+from ..session import ship
 
 #: What workers keep from task to task, by owner: a function that lets go of it.
 _held: dict[str, Callable[[], None]] = {}
@@ -65,7 +45,7 @@ class _Task:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str | None = None) -> DataFrame:
     """owner: whose kept things the function uses (see hold)."""
-    ship_package(df.sparkSession)
+    ship(df.sparkSession)
     return df.mapInArrow(_Task(fn, owner), schema)
 
 
