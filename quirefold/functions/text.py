@@ -48,6 +48,17 @@ def streaming_loop(tail: Column) -> Column:
     return F.coalesce((F.length(tail) >= 24) & (phrase | block), F.lit(False))
 
 
+def loops_at_end(tail: str) -> bool:
+    """streaming_loop of one text, for sequential readers."""
+    if len(tail) < 24:
+        return False
+    s = tail.strip()
+    if any(s.endswith(s[-m:] * 3) for m in range(8, min(120, len(s) // 3) + 1)):
+        return True
+    lines = [x.strip() for x in tail.splitlines() if x.strip()]
+    return any(lines[-p:] == lines[-2 * p : -p] == lines[-3 * p : -2 * p] for p in range(1, 6) if len(lines) >= 3 * p)
+
+
 def html_escape(text: Column) -> Column:
     for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         text = F.replace(text, F.lit(mark), F.lit(entity))

@@ -138,10 +138,14 @@ def snk_04(spark, sf_dir):
 
 @query("stm_06", "SELECT user_id AS page, least(count(*), 40)::BIGINT AS chunks FROM events WHERE user_id < 20 GROUP BY ALL")
 def stm_06(spark, sf_dir):
-    """Token streams: chunks that a reply took, at most 40 here."""
+    """Token streams: chunks that a reply took; three replies of our own (pages below 0) loop and are stopped."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    e = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("user_id").alias("page"), n.alias("seq"), F.concat(F.lit("word"), F.col("event_id").cast("string"), F.lit(" ")).alias("chunk")).where("seq <= 40")
-    stream, folder = streams._stream(spark, e)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), n.alias("seq"), F.concat(F.lit("word"), F.col("event_id").cast("string"), F.lit(" ")).alias("chunk"))
+    own = spark.range(3).select((-1 - F.col("id")).alias("page"), "id", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("seq"))
+    own = own.select("page", "seq", F.when(F.col("seq") <= F.col("id") * 10, F.concat(F.lit("word"), F.col("seq").cast("string"), F.lit(" "))).otherwise("and so on again ").alias("chunk"))
+    e, folder = e.unionByName(own.coalesce(1)), streams.shared(spark)
+    e.write.parquet(f"{folder}/in")
+    stream = S.files(spark, f"{folder}/in", e.schema, 100)  # each batch touches the state of every partition
     out = f"{folder}/replies"
 
     def keep(batch, i):

@@ -61,7 +61,7 @@ def page_filter(pages: DataFrame) -> DataFrame:
 
 
 def _stop(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    from ..functions.text import loops_cut
+    from ..functions.text import loops_at_end
 
     text, chunks, stopped = state.get if state.exists else ("", 0, False)
     for b in batches:
@@ -69,8 +69,7 @@ def _stop(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
             if stopped:
                 continue
             text, chunks = text + r.chunk, chunks + 1
-            tail = text[-1200:]
-            stopped = chunks >= 15 and loops_cut(tail) != "\n".join(tail.splitlines())
+            stopped = chunks >= 15 and loops_at_end(text[-1200:])
     state.update((text, chunks, stopped))
     yield pd.DataFrame([(key[0], chunks, stopped, len(text))], columns=["page", "chunks", "stopped", "chars"])
 
