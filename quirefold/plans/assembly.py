@@ -80,9 +80,9 @@ def agg_01(spark, sf_dir):
 
 @query("agg_02", "SELECT lang AS book, string_agg(coalesce(text, ''), e'\\n\\n---\\n\\n' ORDER BY doc_id) AS text FROM documents WHERE doc_id % 50 = 0 OR source = 'src3' GROUP BY ALL")
 def agg_02(spark, sf_dir):
-    """Books without page marks (of the pages that are final)."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 50 = 0 or source = 'src3'")
-    return A.book(d.select(F.col("lang").alias("book"), F.col("doc_id").alias("page"), "text"), markers=False)
+    """Books without page marks: every document, a book for each language's documents of a hundred ids."""
+    d = table(spark, sf_dir, "documents")
+    return A.book(d.select(F.concat_ws("/", "lang", F.expr("doc_id div 100").cast("string")).alias("book"), F.col("doc_id").alias("page"), "text"), markers=False)
 
 
 @query("snk_03", _PAGES + " SELECT page // 10 AS book, count(*)::BIGINT AS pages, sum(length(text))::BIGINT AS chars FROM t GROUP BY ALL")

@@ -24,3 +24,12 @@ def test_token_stream_longer_than_forty(spark, tmp_path):
 @pytest.mark.parametrize("tail", ["word " * 10, "word " * 5, "eight ch" * 3, "line one\nline two\n" * 3, "l1\nl2\n" * 3, "short", "same line\n\n" * 3, "a\nb\nc\nd\ne\n\n" * 3, "and so on again " * 3 + "but not here"])
 def test_loop_at_end_agrees_with_column(spark, tail):
     assert spark.createDataFrame([(tail,)], "x string").select(X.streaming_loop(F.col("x"))).first()[0] is X.loops_at_end(tail)
+
+
+def test_books_hold_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()
+    want = {}
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        want.setdefault(f"{r.lang}/{r.doc_id // 100}", []).append(r.text or "")
+    got = {r.book: r.text for r in plans.QUERIES["agg_02"](spark, SF).collect()}
+    assert got == {b: "\n\n---\n\n".join(t) for b, t in want.items()} and sum(map(len, want.values())) == len(docs)
