@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,11 +26,11 @@ def strip(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    """Without thinking passages and one Markdown fence around the whole."""
+    """Without thinking passages and one Markdown fence around the whole, loops cut."""
     out = strip(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""))
     out = strip(F.regexp_replace(out, r"(?s)\A.*?</think>", ""))
     out = strip(F.regexp_replace(out, r"\A```(markdown|md)?", ""))
-    return strip(F.regexp_replace(out, r"```\z", ""))
+    return cut_loops(strip(F.regexp_replace(out, r"```\z", "")))
 
 
 def cut_inline_loops(text: Column) -> Column:
@@ -114,11 +115,12 @@ def keep_blocks(lines: list[str], most: int = 2) -> list[str]:
     return out
 
 
-def loops_cut(text: str | None, most: int = 2) -> str | None:
+def loops_cut(text: str | None, most: int = 2, phrases: bool = True) -> str | None:
     """All three passes in order: phrases, lines, blocks."""
     if not text:
         return text
-    text = re.sub(r"([^\n]{12,120}?)\1{2,}", lambda m: m[1] * most, text)
+    if phrases:
+        text = re.sub(r"([^\n]{12,120}?)\1{2,}", lambda m: m[1] * most, text)
     return "\n".join(keep_blocks(keep_lines(text.splitlines(), most), most))
 
 
@@ -127,5 +129,29 @@ def cut_loops(text: Column) -> Column:
     return F.pandas_udf(_cut_batch, "string")(text)
 
 
+def may_loop(texts: list[str]) -> np.ndarray:
+    """Whether the phrase pass can find anything in each text: never false where it does.
+
+    A phrase of p characters three times over is a run of 2 p characters that are equal to
+    those p behind them, so five places in a row, p // 3 apart, are.
+    """
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends, found = np.cumsum([len(t) + 1 for t in texts]), np.zeros(len(texts), bool)
+    for p in range(12, min(121, len(codes))):
+        same = codes[: -p : p // 3] == codes[p :: p // 3]
+        run = np.flatnonzero(same[:-4] & same[1:-3] & same[2:-2] & same[3:-1] & same[4:])
+        found[np.searchsorted(ends, run * (p // 3), "right")] = True
+    return found
+
+
 def _cut_batch(s: pd.Series) -> pd.Series:
-    return s.map(loops_cut, na_action="ignore")
+    out, block, size = [], [], 0
+    for text in [*s, None]:
+        if isinstance(text, str):
+            size += len(text)
+        block.append(text)
+        if size > 1 << 18 or len(block) > 256 or len(out) + len(block) > len(s):
+            looks = may_loop([t if isinstance(t, str) else "" for t in block])
+            out += [loops_cut(t, phrases=f) if isinstance(t, str) else None for t, f in zip(block, looks.tolist(), strict=True)]
+            block, size = [], 0
+    return pd.Series(out[: len(s)], index=s.index, dtype=object)

@@ -26,8 +26,8 @@ _FENCE = "'<think>' || source || '</think>\n```' || CASE doc_id % 3 WHEN 0 THEN
 
 @query("str_02", f"SELECT doc_id, {_strip("regexp_replace(" + _strip("regexp_replace(" + _strip("regexp_replace(" + _strip("regexp_replace(x, '(?s)<think>.*?</think>', '', 'g')") + ", '(?s)\\A.*?</think>', '')") + ", '\\A```(markdown|md)?', '')") + ", '```\\z', '')")} AS body FROM (SELECT doc_id, {_FENCE} AS x FROM documents)")
 def str_02(spark, sf_dir):
-    """Thinking passages and fences come off."""
-    x = F.concat(F.lit("<think>"), "source", F.lit("</think>\n```"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'md' ELSE '' END"), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, 80), F.lit("\n```"))
+    """Thinking passages and fences come off whole texts, loops are cut."""
+    x = F.concat(F.lit("<think>"), "source", F.lit("</think>\n```"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'md' ELSE '' END"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n```"))
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_fences(x).alias("body"))
 
 

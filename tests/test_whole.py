@@ -1,5 +1,9 @@
 """Queries do the whole job: all rows, whole texts, ids of any length."""
 
+import random
+import re
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +37,38 @@ def test_books_hold_all_documents(spark):
         want.setdefault(f"{r.lang}/{r.doc_id // 100}", []).append(r.text or "")
     got = {r.book: r.text for r in plans.QUERIES["agg_02"](spark, SF).collect()}
     assert got == {b: "\n\n---\n\n".join(t) for b, t in want.items()} and sum(map(len, want.values())) == len(docs)
+
+
+def reference_strip(text):
+    """The steps of the reference, as read: lmstudio_client.py, _strip_markdown_fences."""
+    out = re.sub(r"<think>[\s\S]*?</think>", "", text.strip()).strip()
+    out = re.sub(r"\A[\s\S]*?</think>", "", out).strip()
+    for mark in ("```markdown", "```md", "```"):
+        if out.startswith(mark):
+            out = out[len(mark) :].strip()
+            break
+    out = out[:-3].strip() if out.endswith("```") else out
+    return X.loops_cut(out)
+
+
+def test_fences_come_off_whole_texts(spark, tmp_path):
+    long = "\n".join(f"line {i} of a text that goes on" for i in range(40))
+    texts = [long, long + "\n" + "and this phrase again; " * 9, "# T\n" + "the same line\n" * 7, "x" * 90 + "</think>\nthe end", "short", "", None]
+    rows = [(i, t, "src1") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kinds = ["markdown", "md", ""]
+    want = {i: reference_strip(f"<think>src1</think>\n```{kinds[i % 3]}\n{t or ''}\n```") for i, t, _ in rows}
+    assert {r.doc_id: r.body for r in plans.QUERIES["str_02"](spark, str(tmp_path)).collect()} == want
+    assert want[0] == long and want[1].count("again") == 3 and want[2].count("same") == 2
+
+
+def test_phrase_filter_misses_nothing(spark):
+    rnd = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [None, "", "\n", "a" * 36, "ab" * 17]
+    for p in range(12, 121):
+        for _ in range(4):
+            phrase, lead = "".join(rnd.choices("ab é漢🙂", k=p)), "".join(rnd.choices("xyz ", k=rnd.randint(0, 300)))
+            texts.append(lead + phrase * rnd.choice([2, 3, 3, 5]) + lead[:7])
+    got = X._cut_batch(pd.Series(texts, dtype=object)).tolist()
+    assert got == [X.loops_cut(t) for t in texts]
+    assert X._cut_batch(pd.Series([], dtype=object)).tolist() == []
