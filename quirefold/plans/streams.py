@@ -65,11 +65,14 @@ def not_03(spark, sf_dir):
 
 
 def _pages(spark, sf_dir):
-    """Synthetic pages: five dark lines for each of a few staves, at a spacing of the part's size."""
+    """A synthetic page for every part: five dark lines for each of a few staves, at a spacing by its key.
+
+    Pages are handed on 64 at a time, so a worker holds few of them however many there are.
+    """
     import numpy as np
     import pandas as pd
 
-    def draw(keys: pd.Series) -> pd.Series:
+    def draw(keys):
         out = []
         for k in keys:
             img = np.full((320, 480), 240, np.uint8)
@@ -80,11 +83,16 @@ def _pages(spark, sf_dir):
                         img[top + i * gap : top + i * gap + 2, 30:450] = 20
             img[:, 236:244] = 240
             out.append(img.tobytes())
-        return pd.Series(out)
+        return out
+
+    def pages(batches):
+        for b in batches:
+            for at in range(0, len(b), 64):
+                keys = b["p_partkey"].iloc[at : at + 64]
+                yield pd.DataFrame({"p_partkey": keys, "height": 320, "width": 480, "data": draw(keys)})
 
-    draw.__annotations__ = {"keys": pd.Series, "return": pd.Series}
-    parts = table(spark, sf_dir, "part").where("p_size = 7").select("p_partkey")
-    return parts.select("p_partkey", F.lit(320).alias("height"), F.lit(480).alias("width"), F.pandas_udf(draw, "binary")("p_partkey").alias("data"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"))
+    return parts.repartition(8 * spark.sparkContext.defaultParallelism).mapInPandas(pages, "p_partkey long, height int, width int, data binary")
 
 
 @query("img_01")
@@ -120,5 +128,5 @@ def img_20(spark, sf_dir):
 @query("oe_stages")
 def oe_stages(spark, sf_dir):
     """The contract of external stages: error rows where the model is absent."""
-    stubs = table(spark, sf_dir, "part").where("p_size < 4").select(F.col("p_partkey").cast("string").alias("stub"))
+    stubs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("stub"))
     return stages.TRANSCRIBE.apply(stubs).select("stub", "status", "error")

@@ -72,3 +72,10 @@ def test_phrase_filter_misses_nothing(spark):
     got = X._cut_batch(pd.Series(texts, dtype=object)).tolist()
     assert got == [X.loops_cut(t) for t in texts]
     assert X._cut_batch(pd.Series([], dtype=object)).tolist() == []
+
+
+@pytest.mark.parametrize(("name", "key"), [("img_01", "p_partkey"), ("img_05", "p_partkey"), ("oe_stages", "stub")])
+def test_pages_of_all_parts(spark, name, key):
+    parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    got = [int(r[0]) for r in plans.QUERIES[name](spark, SF).select(key).collect()]
+    assert set(got) == parts and len(got) == len(parts)
