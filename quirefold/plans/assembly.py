@@ -139,8 +139,9 @@ _KEY = "SELECT conv_id, turn, 'book_P' || lpad(conv_id::VARCHAR, 4, '0') || '_S'
 @query("joi_09", f"WITH c AS ({_KEY}), k AS (SELECT regexp_extract(name, 'P(\\d{{4}})_', 1)::BIGINT AS page, name FROM c) SELECT p.page_id, count(name)::BIGINT AS crops, min(name) AS first FROM pages p LEFT JOIN k ON k.page = p.page_id GROUP BY ALL")
 def joi_09(spark, sf_dir):
     """Crops of each page by the number in their name."""
-    name = F.concat(F.lit("book_P"), F.lpad(F.col("conv_id").cast("string"), 4, "0"), F.lit("_S"), F.col("turn").cast("string"), F.lit("_staff.png"))
-    crops = table(spark, sf_dir, "conversations").select(name.alias("name")).withColumn("page_id", F.regexp_extract("name", r"P(\d{4})_", 1).cast("long"))
+    page = F.when(F.col("conv_id").isNotNull(), F.format_string("book_P%04d_S", "conv_id"))  # pads, never cuts
+    name = F.concat(page, F.col("turn").cast("string"), F.lit("_staff.png"))
+    crops = table(spark, sf_dir, "conversations").select(name.alias("name")).withColumn("page_id", F.regexp_extract("name", r"P(\d{4,})_", 1).cast("long"))
     return table(spark, sf_dir, "pages").select("page_id").join(crops, "page_id", "left").groupBy("page_id").agg(F.count("name").alias("crops"), F.min("name").alias("first"))
 
 

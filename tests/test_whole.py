@@ -79,3 +79,11 @@ def test_pages_of_all_parts(spark, name, key):
     parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
     got = [int(r[0]) for r in plans.QUERIES[name](spark, SF).select(key).collect()]
     assert set(got) == parts and len(got) == len(parts)
+
+
+def test_crops_of_pages_with_long_numbers(spark, tmp_path):
+    spark.createDataFrame([(7, 0, "user", "x"), (1234, 0, "user", "x"), (12345, 0, "user", "x"), (12345, 1, "user", "x"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7,), (1234,), (12345,)], "page_id long").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in plans.QUERIES["joi_09"](spark, str(tmp_path)).collect()}
+    assert got == {(7, 1, "book_P0007_S0_staff.png"), (1234, 1, "book_P1234_S0_staff.png"), (12345, 2, "book_P12345_S0_staff.png")}
+    assert {(r.page_id, r.crops_count) for r in plans.QUERIES["api_04"](spark, str(tmp_path)).collect()} == {(7, 1), (1234, 1), (12345, 2)}
