@@ -2,8 +2,10 @@
 
 Texts are lower-cased and runs of other than letters become one blank.  Four-character
 grams (UTF-16 units, packed into 64 bits) are counted for each language over *all*
-training rows, on the executors.  A model keeps a language's ``max_grams`` most frequent
-grams (the bound of what is broadcast).  Kneser-Ney discounts the counts of full grams and
+training rows, on the executors, and all of them are kept.  A model of more than ``slice_grams``
+grams is made and broadcast in slices by a gram's last character but one: a gram, its
+shorter grams and its contexts share it, so each slice is exact by itself.  Documents are
+then read once for each slice.  Kneser-Ney discounts the counts of full grams and
 the continuation counts of shorter ones, and interpolates down to a uniform floor.
 
 Models lie in sorted hash arrays: one for each order, with the grams of all languages and
@@ -11,8 +13,8 @@ a column of log probabilities for each.  A text's grams are looked up from the l
 order down; a gram that no language has seen costs each language its back-off weight.
 The language of the lowest cross-entropy per character wins, ties go to the first name.
 
-Rejection is calibrated: one training row of ``calibration_part`` is kept out of the
-counts; a prediction is ``rejected`` if its cross-entropy is more than ``reject_sd``
+Rejection is calibrated: one training row of ``calibration_part`` is kept out of a first
+model, and is counted for the model that predicts; a prediction is ``rejected`` if its cross-entropy is more than ``reject_sd``
 standard deviations above its language's mean there.  ``score`` is the winner's share when
 cross-entropies are turned into odds over ``ODDS_CHARS`` characters.
 
@@ -27,11 +29,11 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import map_batches
+from .shared import map_batches, stored
 
 ORDER = 4
 ODDS_CHARS = 20
@@ -84,12 +86,13 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Sorted arrays of grams by order; log2 probabilities of each language in each row."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], ends: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """ends: characters and their continuation counts in the whole language, where counts are of a slice."""
         self.langs = sorted(counts)
         n = len(self.langs)
-        size = max((len(np.unique(k & np.uint64(0xFFFF))) for k, _ in counts.values()), default=1)
+        size = max((len(np.unique(k & np.uint64(0xFFFF))) for k, _ in (ends or counts).values()), default=1)
         floor = 1.0 / (size + 1)
-        probs = [self._probabilities(*counts[x], floor) for x in self.langs]
+        probs = [self._probabilities(*counts[x], floor, ends and ends[x]) for x in self.langs]
         self.orders = []
         for order in range(1, ORDER + 1):
             keys = np.unique(np.concatenate([p[order][0] for p in probs])) if n else np.empty(0, np.uint64)
@@ -111,12 +114,14 @@ class Model:
         self.mean, self.sd = np.zeros(n), np.full(n, np.inf)
 
     @staticmethod
-    def _probabilities(keys: np.ndarray, count: np.ndarray, floor: float) -> dict:
+    def _probabilities(keys: np.ndarray, count: np.ndarray, floor: float, ends: tuple[np.ndarray, np.ndarray] | None = None) -> dict:
         """Of each order: grams, their discounted mass, contexts, their back-off weights."""
         out = {}
         order = np.argsort(keys)
         keys, count = keys[order], count[order].astype(float)
         for k in range(ORDER, 0, -1):
+            if k == 1 and ends is not None:
+                keys, count = ends
             context = keys >> np.uint64(16) if k > 1 else np.zeros(len(keys), np.uint64)
             ctx, which = np.unique(context, return_inverse=True)
             total = np.bincount(which, count, len(ctx))
@@ -144,9 +149,14 @@ class Model:
 
     def entropy(self, key: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Bits per character of each text in each language."""
+        return self.bits(key, first) / np.maximum(np.diff(first), 1)[:, None]
+
+    def bits(self, key: np.ndarray, first: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Bits of each text in each language, of the characters that own marks."""
         n = len(self.langs)
-        bits = np.empty((len(key), n), np.float32)
-        todo, extra = np.arange(len(key)), np.zeros((len(key), n), np.float32)
+        bits = np.zeros((len(key), n), np.float32)
+        todo = np.arange(len(key)) if own is None else np.flatnonzero(own)
+        extra = np.zeros((len(todo), n), np.float32)
         for order in range(ORDER, 0, -1):
             gram = key[todo] & np.uint64((1 << 16 * order) - 1) if order < 4 else key[todo]
             at = T.lookup(self.orders[order - 1], gram)
@@ -160,7 +170,69 @@ class Model:
         bits[todo] = self.floor + extra
         sums = np.zeros((len(key) + 1, n))
         np.cumsum(bits, axis=0, dtype=np.float64, out=sums[1:])
-        return (sums[first[:-1]] - sums[first[1:]]) / np.maximum(np.diff(first), 1)[:, None]
+        return sums[first[:-1]] - sums[first[1:]]
+
+
+def _slice(gram, parts: int):
+    """The slice of a gram (array or column): by its last character but one."""
+    if isinstance(gram, Column):
+        unit = F.shiftrightunsigned(gram, 16).bitwiseAND(F.lit(0xFFFF).cast("long"))
+        return F.shiftright((unit * 40503).bitwiseAND(F.lit(0xFFFF).cast("long")) * parts, 16)
+    unit = ((gram >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+    return ((unit * 40503 & 0xFFFF) * parts) >> 16
+
+
+class Sliced:
+    """A model that is made slice by slice from stored counts."""
+
+    def __init__(self, counts: DataFrame, parts: int):
+        self.counts, self.parts = counts, parts
+        pairs = counts.select("lang", F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pair")).distinct()
+        ends = pairs.groupBy("lang", F.col("pair").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("gram")).agg(F.count("*").alias("n"))
+        self.ends = self._collected(ends)
+        self.langs = sorted(self.ends)
+        self.mean, self.sd = np.zeros(len(self.langs)), np.full(len(self.langs), np.inf)
+
+    @staticmethod
+    def _collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        table = counts.select("lang", "gram", "n").toArrow()
+        names = np.array(table.column("lang").to_pylist(), object)
+        key, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        by_key = np.argsort(key)
+        names, key, n = names[by_key], key[by_key], n[by_key].astype(float)
+        return {x: (key[names == x], n[names == x]) for x in set(names)}
+
+    def part(self, i: int) -> Model:
+        none = (np.empty(0, np.uint64), np.empty(0))
+        got = self._collected(self.counts.where(_slice(F.col("gram"), self.parts) == i))
+        return Model({x: got.get(x, none) for x in self.langs}, self.ends)
+
+    def measured(self, rows: DataFrame) -> DataFrame:
+        """rows (with text) and h, the bits a character in each language; a pass for each slice."""
+        sc = rows.sparkSession.sparkContext
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "langid-rows")
+        sums = None
+        for i in range(self.parts):
+            model = sc.broadcast(self.part(i))
+            one = stored(map_batches(rows.select("row", "text"), _Bits(model, i, self.parts), "row long, part int, n long, bits array<double>"), "langid-bits")
+            model.destroy()
+            sums = one if sums is None else sums.unionByName(one)
+        total = F.aggregate(F.sort_array(F.collect_list(F.struct("part", "bits"))), F.array_repeat(F.lit(0.0), len(self.langs)), lambda a, x: F.zip_with(a, x["bits"], lambda p, q: p + q))
+        sums = sums.groupBy("row").agg(F.transform(total, lambda b: b / F.greatest(F.max("n"), F.lit(1))).alias("h"))
+        return rows.join(sums, "row").drop("row")
+
+
+class _Bits:
+    def __init__(self, model, part: int, parts: int):
+        self.model, self.part, self.parts = model, part, parts
+
+    def __call__(self, batches):
+        m = self.model.value
+        for b in batches:
+            for texts, (row,) in _rows(b, "row", langs=len(m.langs)):
+                key, first = grams(texts)
+                bits = m.bits(key, first, _slice(key, self.parts) == self.part)
+                yield pa.RecordBatch.from_arrays([row, pa.array([self.part] * len(texts), pa.int32()), pa.array(np.diff(first), pa.int64()), pa.array(bits.tolist(), pa.list_(pa.float64()))], ["row", "part", "n", "bits"])
 
 
 def _rows(batch, *names, langs: int = 4):
@@ -220,30 +292,38 @@ class _Entropy:
                 yield pa.RecordBatch.from_arrays([lang.filter(pa.array(ok)), pa.array(h[ok, own[ok]])], ["lang", "h"])
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = 150_000, calibration_part: int = 32) -> Model:
-    """Count over all labelled rows; the models hold max_grams grams of each language at most."""
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None, calibration_part: int = 32, slice_grams: int = 2_000_000) -> Model | Sliced:
+    """Count over all labelled rows; only where max_grams is given do the models hold no more grams of each language."""
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and lang <> '' and text is not null")
     aside = F.pmod(F.xxhash64("text", "lang"), F.lit(calibration_part)) == 0
-    counts = map_batches(rows.where(~aside), _Count(), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = _most_frequent(counts, max_grams)
-    got = {}
-    table = top.toArrow()
-    names = np.array(table.column("lang").to_pylist(), object)
-    key, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    for x in sorted(set(names)):
-        own = names == x
-        got[x] = (key[own], n[own])
-    model = Model(got)
-    if got:
-        spark = labelled.sparkSession
-        held = map_batches(rows.where(aside), _Entropy(spark.sparkContext.broadcast(model)), "lang string, h double")
-        for r in held.groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("h").alias("n")).collect():
+    kinds = "lang string, gram long, n long"
+    taught = map_batches(rows.where(~aside), _Count(), kinds).withColumn("first", F.col("n"))
+    later = map_batches(rows.where(aside), _Count(), kinds).withColumn("first", F.lit(0).cast("long"))
+    counts = stored(taught.unionByName(later).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("first").alias("first")), "langid-counts")
+
+    def model_of(counts):
+        top = counts if max_grams is None else _most_frequent(counts, max_grams)
+        parts = -(-top.count() // slice_grams)
+        return Sliced(top, parts) if parts > 1 else Model(Sliced._collected(top))
+
+    first = model_of(counts.where("first > 0").select("lang", "gram", F.col("first").alias("n")))
+    model = model_of(counts.select("lang", "gram", "n"))
+    if first.langs:
+        for r in _entropies(rows.where(aside), first).groupBy("lang").agg(F.avg("h").alias("m"), F.stddev_pop("h").alias("s"), F.count("h").alias("n")).collect():
             j = model.langs.index(r["lang"])
             if r["n"] >= 5:
                 model.mean[j], model.sd[j] = r["m"], max(r["s"], 0.05)
     return model
 
 
+def _entropies(rows: DataFrame, model: Model | Sliced) -> DataFrame:
+    """lang, h: bits a character of each row in its own language."""
+    if isinstance(model, Sliced):
+        at = F.array_position(F.array(*map(F.lit, model.langs)), F.col("lang")).cast("int")
+        return model.measured(rows).where(at > 0).select("lang", F.element_at("h", at).alias("h"))
+    return map_batches(rows, _Entropy(rows.sparkSession.sparkContext.broadcast(model)), "lang string, h double")
+
+
 def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """Each language's most frequent grams, ties in hash order: a threshold read off a histogram of ranks."""
     rank = F.col("n") * 64 + F.pmod(F.xxhash64("gram"), F.lit(64))
@@ -257,6 +337,13 @@ def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
 PREDICTION = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
+class _Names:
+    """What a prediction needs of a model whose entropies are known."""
+
+    def __init__(self, langs, mean, sd):
+        self.langs, self.mean, self.sd = langs, mean, sd
+
+
 class _Predict:
     def __init__(self, model, reject_sd):
         self.model, self.sd = model, reject_sd
@@ -264,13 +351,12 @@ class _Predict:
     def __call__(self, batches):
         m = self.model.value
         for b in batches:
-            for texts, (ids,) in _rows(b, "doc_id", langs=len(m.langs)):
+            for texts, (ids, *h) in _rows(b, *[x for x in ("doc_id", "h") if x in b.schema.names], langs=len(m.langs)):
                 n = len(texts)
                 if not m.langs:
                     cols = [["und"] * n, [0.0] * n, [None] * n, [True] * n]
                 else:
-                    key, first = grams(texts)
-                    h = m.entropy(key, first)
+                    h = np.array(h[0].to_pylist()).reshape(n, -1) if h else m.entropy(*grams(texts))
                     best = h.argmin(1)
                     odds = np.exp2(-ODDS_CHARS * (h - h.min(1)[:, None]))
                     score, low = 1 / odds.sum(1), h[np.arange(n), best]
@@ -284,4 +370,6 @@ class _Predict:
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", reject_sd: float = 6.0) -> DataFrame:
     """One row for each document: lang_pred, score, cross_entropy (bits a character), rejected."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if isinstance(model, Sliced):
+        docs, model = model.measured(docs), _Names(model.langs, model.mean, model.sd)
     return map_batches(docs, _Predict(docs.sparkSession.sparkContext.broadcast(model), reject_sd), PREDICTION)
