@@ -52,7 +52,7 @@ def stm_05(spark, sf_dir):
 @query("not_02")
 def not_02(spark, sf_dir):
     """Runaway kern texts cut."""
-    return notation.kern_docs(spark, sf_dir).select("doc", H.cut_runaway_column(F.col("raw_kern")).alias("kern"))
+    return H.cut_runaway(notation.kern_docs(spark, sf_dir)).select("doc", "kern")
 
 
 @query("not_03")
@@ -60,7 +60,7 @@ def not_03(spark, sf_dir):
     """Kern texts with even columns."""
     from ..functions.kern import spines_valid
 
-    n = notation.kern_docs(spark, sf_dir).select("doc", H.normalise_column(F.col("raw_kern")).alias("kern"))
+    n = H.normalise(notation.kern_docs(spark, sf_dir))
     return n.select("doc", F.length("kern").alias("n"), spines_valid(F.split("kern", "\n")).alias("valid"))
 
 

@@ -65,22 +65,67 @@ def test_spines(spark, lines, ok):
     assert spark.createDataFrame([(lines,)], "l array<string>").select(K.spines_valid(F.col("l"))).first()[0] is ok
 
 
-def test_runaway():
-    assert H.cut_runaway("**kern\n4c\n4d\n==\n4e\n4f") == "**kern\n4c\n4d\n==\n*-"
-    assert H.cut_runaway("**kern\n*M4/4\n=1\n4c\n4d\n=2\n8g\n8a\n=3\n4c\n4d\n=4\n8g\n8a") .count("=") == 3
-    assert "4e" not in H.cut_runaway("**kern\n=1\n4c\n4d\n4d\n4e")
-    assert H.cut_runaway("") == "" and H.cut_runaway(None) is None
-    assert "33333333" not in H.cut_runaway("**kern\n4c\n33333333\n4d")
+@pytest.fixture(scope="module")
+def cut(spark):
+    return lambda t: H.cut_runaway(spark.createDataFrame([(1, t)], "doc long, raw_kern string")).first().kern
+
+
+@pytest.fixture(scope="module")
+def even(spark):
+    return lambda t: H.normalise(spark.createDataFrame([(1, t)], "doc long, raw_kern string")).first().kern
+
+
+def test_runaway(cut):
+    assert cut("**kern\n4c\n4d\n==\n4e\n4f") == "**kern\n4c\n4d\n==\n*-"
+    assert cut("**kern\n*M4/4\n=1\n4c\n4d\n=2\n8g\n8a\n=3\n4c\n4d\n=4\n8g\n8a").count("=") == 3
+    assert "4e" not in cut("**kern\n=1\n4c\n4d\n4d\n4e")
+    assert cut("") == "" and cut(None) is None
+    assert "33333333" not in cut("**kern\n4c\n33333333\n4d")
+
+
+CUTS = [
+    ("**kern<b>4c<s>x<t>4d</s><b>*-", "**kern\n4c x\t4d\n*-"),
+    ("  \n\t", "  \n\t"),
+    ("777777c", "=\n*-"),
+    ("**kern\n" + "*8va\n" * 3 + "4c", "**kern\n*8va\n=\n*-"),
+    ("".join(f"*a{i}\n" for i in range(20)), "".join(f"*a{i}\n" for i in range(12)) + "=\n*-"),
+    ("**kern\n4c\n*M3/4\n4d", "**kern\n4c\n=\n*-"),
+    ("**kern\n4c\n*^\n4d\t4e", "**kern\n4c\n*^\n4d\t4e\n=\n*-"),
+    ("**kern\t**kern\n=1\n4c\n=2\n4r\n=3\n.\n=4\n4d", "**kern\t**kern\n=1\n4c\n=2\n4r\n=3\n.\n=\t=\n*-\t*-"),
+    ("=1\n4c\n!x\n4c\n4d", "!x\n=1\n4c\n=\n*-"),
+    ("=1\n4c\n=2\n4c\n=3\n4e", "=1\n4c\n=2\n4c\n=3\n4e\n=\n*-"),
+    ("=1\n4c\n=2\n4d\n=3\n4e\n=4\n4d\n=5\n4e", "=1\n4c\n=2\n4d\n=3\n4e\n=\n*-"),
+    ("=1\n4a\n=2\n4c\n=3\n4c\n=4\n4c\n=5\n4c", "=1\n4a\n=2\n4c\n=\n*-"),
+]
 
 
-def test_normalise(spark):
-    out = H.normalise("4c\t4e\n4d\n=1\n*clefTAB6\t*\n4f\t4g\t4a")
+def test_normalise(spark, even):
+    out = even("4c\t4e\n4d\n=1\n*clefTAB6\t*\n4f\t4g\t4a")
     lines = out.split("\n")
     assert lines[0] == "**kern\t**kern" and lines[-1] == "*-\t*-" and all(len(x.split("\t")) == 2 for x in lines)
-    assert H.normalise("") is None and H.normalise(None) is None
+    assert even("") is None and even(None) is None
     assert spark.createDataFrame([(lines,)], "l array<string>").select(K.spines_valid(F.col("l"))).first()[0]
 
 
+EVEN = [
+    ("**kern\n*^\n4c\n*v\t*v\n4d\t4e\n==", "**kern\n*^\n4c\t.\n*v\t*v\n4d\n==\n*-"),
+    ("**kern\t**kern\n*v\n4c\n=2", "**kern\t**kern\n*\t*\n4c\t.\n=2\t=2\n*-\t*-"),
+    ("**kern\n*stria5\n4c\t*^\n*^", "**kern\n4c\n*^\n=\t=\n*-\t*-"),
+    ("**kern", "**kern\n=\n*-"),
+    ("**kern\t**kern\t**kern\n*v\t*v\t*^\n4c\n==", "**kern\t**kern\t**kern\n*v\t*v\t*^\n4c\t.\t.\n==\t==\t==\n*-\t*-\t*-"),
+]
+
+
+def test_healing_of_many(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(CUTS + EVEN)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc long, raw_kern string").repartition(3)
+    got = {r.doc: r.kern for r in H.cut_runaway(docs).collect()}
+    assert [got[i] for i in range(len(CUTS))] == [w for _, w in CUTS] and got[90] is None and got[91] == ""
+    got = {r.doc: r.kern for r in H.normalise(docs).collect()}
+    assert [got[len(CUTS) + i] for i in range(len(EVEN))] == [w for _, w in EVEN] and got[90] is None and got[91] is None
+    assert H.cut_runaway(docs.where("false")).count() == 0 and H.normalise(docs.where("false")).count() == 0
+
+
 def test_null_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc long, raw_kern string, crop_width int")
     assert N.validate(none).count() == 0
