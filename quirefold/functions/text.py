@@ -79,39 +79,38 @@ def fenced(kind: str, body: Column) -> Column:
     return F.concat(F.lit(f"```{kind}\n"), strip(body), F.lit("\n```"))
 
 
-def keep_lines(lines: list[str], most: int = 2) -> list[str]:
-    """Equal neighbours (blank lines aside) stay `most` times; blank lines go with the line behind them."""
-    out, blank, last, times = [], [], None, 0
-    for line in lines:
-        body = line.strip()
-        if not body:
-            blank.append(line)
-            continue
-        last, times = body, times + 1 if body == last else 1
-        if times <= most:
-            out += [*blank, line]
-        blank = []
-    return out + blank
-
-
-def keep_blocks(lines: list[str], most: int = 2) -> list[str]:
-    """A block of 2 to 8 lines that stands three times or more in a row stays `most` times; short blocks first."""
-    out, at = [], 0
-    while at < len(lines):
-        for size in range(2, 9):
-            block = lines[at : at + size]
-            if len(block) < size or not any(x.strip() for x in block):
-                continue
-            times = 1
-            while lines[at + times * size : at + (times + 1) * size] == block:
-                times += 1
-            if times >= 3:
-                out += block * most
-                at += times * size
-                break
-        else:
-            out.append(lines[at])
-            at += 1
+def stays_in_runs(bodies: np.ndarray, filled: np.ndarray, most: int = 2) -> np.ndarray:
+    """Which lines stay when runs of equal filled lines are held to `most`; blank lines go with the filled one behind them."""
+    at = np.flatnonzero(filled)
+    place = np.arange(len(at))
+    opens = np.ones(len(at), bool)
+    opens[1:] = bodies[at[1:]] != bodies[at[:-1]]
+    stays = place - np.maximum.accumulate(np.where(opens, place, 0)) < most
+    out = np.append(stays, True)[np.searchsorted(at, np.arange(len(filled)))]
+    return out
+
+
+def stays_in_cycles(lines: np.ndarray, filled: np.ndarray, most: int = 2) -> np.ndarray:
+    """Which lines stay when blocks of 2 to 8 lines that stand three times or more in a row are held to `most`.
+
+    How far lines equal those a block ahead gives the repeats at every place; the shortest block counts.
+    """
+    n = len(lines)
+    size, span = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    inked = np.concatenate(([0], np.cumsum(filled)))
+    for k in range(2, 9):
+        m = n - k
+        if m < 2 * k:
+            break
+        breaks = np.append(np.flatnonzero(lines[k:] != lines[:m]), m)
+        stretch = breaks[np.searchsorted(breaks, np.arange(m))] - np.arange(m)
+        hit = (stretch >= 2 * k) & (inked[k : k + m] > inked[:m]) & (size[:m] == 0)
+        size[:m][hit], span[:m][hit] = k, (stretch[hit] // k + 1) * k
+    out, begins, free = np.ones(n, bool), np.flatnonzero(size), 0
+    for i in begins.tolist():
+        if i >= free:
+            free = i + int(span[i])
+            out[i + most * int(size[i]) : free] = False
     return out
 
 
@@ -121,7 +120,17 @@ def loops_cut(text: str | None, most: int = 2, phrases: bool = True) -> str | No
         return text
     if phrases:
         text = re.sub(r"([^\n]{12,120}?)\1{2,}", lambda m: m[1] * most, text)
-    return "\n".join(keep_blocks(keep_lines(text.splitlines(), most), most))
+    lines = text.splitlines()
+    bodies = [x.strip() for x in lines]
+    seen = {x: i for i, x in enumerate(bodies)}
+    if len(bodies) - len(seen) > max(0, bodies.count("") - 1):  # some filled line stands twice, else nothing can loop
+        filled, body = np.array([x != "" for x in bodies]), np.array([seen[x] for x in bodies])
+        stays = stays_in_runs(body, filled, most)
+        lines, filled = [x for x, s in zip(lines, stays.tolist(), strict=True) if s], filled[stays]
+        name = {x: i for i, x in enumerate(lines)}
+        stays = stays_in_cycles(np.array([name[x] for x in lines], np.int64), filled, most)
+        lines = [x for x, s in zip(lines, stays.tolist(), strict=True) if s]
+    return "\n".join(lines)
 
 
 def cut_loops(text: Column) -> Column:
