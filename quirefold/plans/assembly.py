@@ -78,7 +78,7 @@ def agg_01(spark, sf_dir):
     return A.book(injected(spark, sf_dir).select(F.expr("page div 10").alias("book"), "page", "text"))
 
 
-@query("agg_02", "SELECT lang AS book, string_agg(coalesce(text, ''), e'\\n\\n---\\n\\n' ORDER BY doc_id) AS text FROM documents WHERE doc_id % 50 = 0 OR source = 'src3' GROUP BY ALL")
+@query("agg_02", "SELECT concat_ws('/', lang, (doc_id // 100)::VARCHAR) AS book, string_agg(coalesce(text, ''), e'\\n\\n---\\n\\n' ORDER BY doc_id) AS text FROM documents GROUP BY ALL")
 def agg_02(spark, sf_dir):
     """Books without page marks: every document, a book for each language's documents of a hundred ids."""
     d = table(spark, sf_dir, "documents")
@@ -133,10 +133,10 @@ def set_02(spark, sf_dir):
     return c.select(F.col("conv_id").alias("page"), "turn").exceptAll(c.where("role = 'assistant'").select("conv_id", "turn")).distinct()
 
 
-_KEY = "SELECT conv_id, turn, 'book_P' || lpad(conv_id::VARCHAR, 4, '0') || '_S' || turn || '_staff.png' AS name FROM conversations"
+_KEY = "SELECT conv_id, turn, 'book_' || format('P{:04d}', conv_id) || '_S' || turn || '_staff.png' AS name FROM conversations"
 
 
-@query("joi_09", f"WITH c AS ({_KEY}), k AS (SELECT regexp_extract(name, 'P(\\d{{4}})_', 1)::BIGINT AS page, name FROM c) SELECT p.page_id, count(name)::BIGINT AS crops, min(name) AS first FROM pages p LEFT JOIN k ON k.page = p.page_id GROUP BY ALL")
+@query("joi_09", f"WITH c AS ({_KEY}), k AS (SELECT regexp_extract(name, 'P(\\d{{4,}})_', 1)::BIGINT AS page, name FROM c) SELECT p.page_id, count(name)::BIGINT AS crops, min(name) AS first FROM pages p LEFT JOIN k ON k.page = p.page_id GROUP BY ALL")
 def joi_09(spark, sf_dir):
     """Crops of each page by the number in their name."""
     page = F.when(F.col("conv_id").isNotNull(), F.format_string("book_P%04d_S", "conv_id"))  # pads, never cuts
@@ -145,7 +145,7 @@ def joi_09(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id").join(crops, "page_id", "left").groupBy("page_id").agg(F.count("name").alias("crops"), F.min("name").alias("first"))
 
 
-@query("api_04", f"WITH c AS ({_KEY}), k AS (SELECT regexp_extract(name, 'P(\\d{{4}})_', 1)::BIGINT AS page, count(*) AS n FROM c GROUP BY ALL) SELECT page_id, 'Page ' || page_id AS title, coalesce(n, 0)::BIGINT AS crops_count FROM pages LEFT JOIN k ON k.page = page_id")
+@query("api_04", f"WITH c AS ({_KEY}), k AS (SELECT regexp_extract(name, 'P(\\d{{4,}})_', 1)::BIGINT AS page, count(*) AS n FROM c GROUP BY ALL) SELECT page_id, 'Page ' || page_id AS title, coalesce(n, 0)::BIGINT AS crops_count FROM pages LEFT JOIN k ON k.page = page_id")
 def api_04(spark, sf_dir):
     """Pages with their numbers of crops."""
     n = joi_09(spark, sf_dir)
@@ -155,7 +155,8 @@ def api_04(spark, sf_dir):
 @query("api_10", f"WITH c AS ({_KEY}) SELECT conv_id, turn, name FROM c WHERE regexp_matches(name, '(?:^|_)P0*[123]_S\\d+')")
 def api_10(spark, sf_dir):
     """Crops of pages 1 to 3 by the lookup's pattern."""
-    name = F.concat(F.lit("book_P"), F.lpad(F.col("conv_id").cast("string"), 4, "0"), F.lit("_S"), F.col("turn").cast("string"), F.lit("_staff.png"))
+    page = F.when(F.col("conv_id").isNotNull(), F.format_string("book_P%04d_S", "conv_id"))
+    name = F.concat(page, F.col("turn").cast("string"), F.lit("_staff.png"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name")).where(F.col("name").rlike(r"(?:^|_)P0*[123]_S\d+"))
 
 

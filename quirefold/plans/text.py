@@ -17,16 +17,9 @@ def str_01(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.book_title(F.concat("source", F.lit("/"), "lang", F.lit(": "), F.col("doc_id").cast("string"), F.lit(". "))).alias("title"))
 
 
-def _strip(x):
-    return f"regexp_replace({x}, '\\A\\s+|\\s+\\z', '', 'g')"
-
-
-_FENCE = "'<think>' || source || '</think>\n```' || CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'md' ELSE '' END || '\n' || substr(coalesce(text, ''), 1, 80) || '\n```'"
-
-
-@query("str_02", f"SELECT doc_id, {_strip("regexp_replace(" + _strip("regexp_replace(" + _strip("regexp_replace(" + _strip("regexp_replace(x, '(?s)<think>.*?</think>', '', 'g')") + ", '(?s)\\A.*?</think>', '')") + ", '\\A```(markdown|md)?', '')") + ", '```\\z', '')")} AS body FROM (SELECT doc_id, {_FENCE} AS x FROM documents)")
+@query("str_02")
 def str_02(spark, sf_dir):
-    """Thinking passages and fences come off whole texts, loops are cut."""
+    """Thinking passages and fences come off whole texts, loops are cut (sequential, so held against worked examples)."""
     x = F.concat(F.lit("<think>"), "source", F.lit("</think>\n```"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'markdown' WHEN 1 THEN 'md' ELSE '' END"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n```"))
     return table(spark, sf_dir, "documents").select("doc_id", X.strip_fences(x).alias("body"))
 
