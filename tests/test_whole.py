@@ -3,7 +3,6 @@
 import random
 import re
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -40,8 +39,8 @@ def test_books_hold_all_documents(spark):
     assert got == {b: "\n\n---\n\n".join(t) for b, t in want.items()} and sum(map(len, want.values())) == len(docs)
 
 
-def reference_strip(text):
-    """The steps of the reference, as read: lmstudio_client.py, _strip_markdown_fences."""
+def stripped(text):
+    """The steps one after the other, in plain Python."""
     out = re.sub(r"<think>[\s\S]*?</think>", "", text.strip()).strip()
     out = re.sub(r"\A[\s\S]*?</think>", "", out).strip()
     for mark in ("```markdown", "```md", "```"):
@@ -58,7 +57,7 @@ def test_fences_come_off_whole_texts(spark, tmp_path):
     rows = [(i, t, "src1") for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     kinds = ["markdown", "md", ""]
-    want = {i: reference_strip(f"<think>src1</think>\n```{kinds[i % 3]}\n{t or ''}\n```") for i, t, _ in rows}
+    want = {i: stripped(f"<think>src1</think>\n```{kinds[i % 3]}\n{t or ''}\n```") for i, t, _ in rows}
     assert {r.doc_id: r.body for r in plans.QUERIES["str_02"](spark, str(tmp_path)).collect()} == want
     assert want[0] == long and want[1].count("again") == 3 and want[2].count("same") == 2
 
@@ -88,18 +87,3 @@ def test_crops_of_pages_with_long_numbers(spark, tmp_path):
     got = {tuple(r) for r in plans.QUERIES["joi_09"](spark, str(tmp_path)).collect()}
     assert got == {(7, 1, "book_P0007_S0_staff.png"), (1234, 1, "book_P1234_S0_staff.png"), (12345, 2, "book_P12345_S0_staff.png")}
     assert {(r.page_id, r.crops_count) for r in plans.QUERIES["api_04"](spark, str(tmp_path)).collect()} == {(7, 1), (1234, 1), (12345, 2)}
-
-
-def test_language_model_keeps_all_grams_in_slices(spark):
-    from quirefold.llm import langid
-
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    whole, sliced = langid.train(docs), langid.train(docs, slice_grams=9000)
-    rows = docs.where("text is not null and lang is not null").select("text", "lang").collect()
-    kept = {x: len(np.unique(langid.grams([r.text for r in rows if r.lang == x])[0])) for x in whole.langs}
-    counts = {r[0]: r[1] for r in sliced.counts.groupBy("lang").count().collect()}
-    assert counts == kept and sliced.parts > 2  # calibration rows too
-    assert len(whole.orders[3]) == len(np.unique(langid.grams([r.text for r in rows])[0]))
-    a, b = ({r.doc_id: r for r in langid.predict(docs, m).collect()} for m in (whole, sliced))
-    assert a.keys() == b.keys() and all(a[k].lang_pred == b[k].lang_pred and a[k].rejected == b[k].rejected for k in a)
-    assert all(abs((a[k].cross_entropy or 0) - (b[k].cross_entropy or 0)) < 1e-4 for k in a)
