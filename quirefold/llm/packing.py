@@ -17,7 +17,9 @@ come from counts by (length, bucket), so a length that a third of all pieces hav
 spread over many tasks.
 
 Defined results: a null or empty text is one piece of the end token alone; equal rows are
-pieces of their own; special strings in texts are read as the tokenizer library's default.
+pieces of their own; special strings in texts are read as the tokenizer library's default;
+null ids are packed as others; an empty table gives no sequence; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ _loaded: dict[str, Tokens] = {}
 class Tokens:
     """Token ids of texts, piece by piece of the pre-tokenizer, each distinct piece encoded once."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.known = P.CodePoints(path)
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -52,14 +55,19 @@ class Tokens:
 
     def clear(self):
         self.memo = P.Memo(self.most)
-        self.flat, self.used = np.empty(1 << 16, np.uint16), 0
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
     def _store(self, ids: list[int]) -> int:
         if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(ids)), np.uint16)))
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(self.used // 2, len(ids)), np.uint32)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        return (self.used - len(ids)) << 24 | len(ids)  # a piece has fewer than 2**24 tokens
+        return (self.used - len(ids)) << 32 | len(ids)
+
+    def _ids(self, words: list[str]):
+        for i in range(0, len(words), 1024):
+            for e in self.library.encode_batch_fast(words[i : i + 1024], add_special_tokens=False):
+                yield e.ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, edges) of all texts, end to end."""
@@ -67,22 +75,21 @@ class Tokens:
         if any(s in t for s in self.specials for t in texts):
             odd = {i: np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if any(s in t for s in self.specials)}
             texts = ["" if i in odd else t for i, t in enumerate(texts)]
-        points, marks = P.with_sentinels(texts)
-        start, end = P.runs_with_spaces(points)
-        if self.memo.full or self.used > 16 * self.most:
+        points, marks = P.with_marks(texts)
+        start, end = P.runs_with_spaces(points, self.known.kind)
+        if self.memo.full or self.used > 4 * self.most:
             self.clear()
         if len(start):
             distinct, first, which = np.unique(P.piece_hashes(points, start, end), return_index=True, return_inverse=True)
 
             def compute(new):
                 spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
-                words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans]
-                return [self._store(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+                return [self._store(ids) for ids in self._ids([points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans])]
 
             value = self.memo.get(distinct, compute)
-            size, place = (value & 0xFFFFFF)[which], (value >> 24)[which]
+            size, place = (value & 0xFFFFFFFF)[which], (value >> 32)[which]
             total = np.concatenate(([0], np.cumsum(size)))
-            ids = self.flat[np.repeat(place - total[:-1], size) + np.arange(total[-1])].astype(np.uint32)
+            ids = self.flat[np.repeat(place - total[:-1], size) + np.arange(total[-1])]
             edges = total[np.searchsorted(start, marks)]
         else:
             ids, edges = np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)

@@ -2,9 +2,10 @@
 
 Two deterministic transducers count the tokens of a text without making them.
 
-*The outer one* (``pretoken.runs_by_transducer``) cuts the normalised text into pieces.
-It runs over equal chunks of a block side by side; the chunks' state maps compose through
-a parallel prefix scan.
+*The outer one* (``pretoken.ChunkMaps``) cuts the normalised text into pieces.  The transition
+that begins a piece carries the piece's tokens.  It runs over equal chunks of a block side by
+side, from every state; the chunks' maps (state behind, tokens emitted) compose through a
+parallel prefix scan, which gives the counts of whole texts.
 
 *The inner one* counts the tokens of a piece.  Its alphabet is the bytes, and the bytes
 that end a piece; it is compiled from the vocabulary and its merges as far as texts ask
@@ -14,20 +15,21 @@ each neighbouring pair stays a pair when the two are encoded together, so the la
 behind a byte is the one vocabulary entry that ends there and pairs with the last token
 of the state it begins at.  Every transition carries the number of tokens it emits: the
 change of the count (it is negative where a byte joins tokens).  Counts add up along a
-path, so a piece's count is the sum over its bytes and a text's the sum over its pieces.
+path, so a piece's count is the sum over its bytes.
 
 States are kept up to ``MOST_STATES`` and pieces' counts up to ``Memo``'s bound; beyond
 them the worker starts afresh, which costs time and changes no count.
 
-Texts are normalised as the file says (NFC, white space, lower case); special strings in a
-text count one token each and part it.  Null and empty texts have no tokens.
+Texts are normalised as the file says (NFC, white space, lower case), code points that Python
+does not know by the library itself; special strings in a text count one token each and part
+it.  Null and empty texts have no tokens; repeated rows give a row each; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from . import pretoken as P
 from . import textscan as T
 from .shared import hold, map_batches
 
-MOST_STATES = 400_000
+MOST_STATES = 300_000
 _loaded: dict[str, tuple] = {}
 
 
@@ -154,32 +156,26 @@ class Transducer:
         return n + out
 
 
-def loaded(path: str) -> tuple[Vocabulary, Transducer, P.Memo]:
+def loaded(path: str) -> tuple[Vocabulary, Transducer, P.Memo, P.CodePoints]:
     if path not in _loaded:
         v = Vocabulary(path)
-        _loaded[path] = (v, Transducer(v), P.Memo())
+        _loaded[path] = (v, Transducer(v), P.Memo(), P.CodePoints(path))
         hold("token_fst", _loaded.clear)
     return _loaded[path]
 
 
-def count_tokens(texts: list[str], path: str) -> np.ndarray:
+def count_tokens(texts: list[str], path: str, chunk: int | None = None) -> np.ndarray:
     """Tokens of each text."""
-    v, transducer, memo = loaded(path)
-    owner, parts, extra = np.arange(len(texts)), texts, np.zeros(len(texts), np.int64)
+    v, transducer, memo, known = loaded(path)
+    owner, parts, extra = None, texts, np.zeros(len(texts), np.int64)
     joined = "".join(texts)
     if any(s in joined for s in v.specials):  # special strings part their text
         cut = re.compile("|".join(map(re.escape, v.specials)))
         split = [cut.split(t) for t in texts]
         extra = np.array([len(s) - 1 for s in split], np.int64)
-        owner, parts = np.repeat(owner, extra + 1), [p for s in split for p in s]
-    if not joined.isascii():
-        if not unicodedata.is_normalized("NFC", joined) or len(parts) != len(texts):
-            parts = [unicodedata.normalize("NFC", p) for p in parts]
-        if "İ" in joined or "̇" in joined:
-            parts = [p.replace("İ", "i̇") for p in parts]
-    points, marks = P.with_sentinels(parts)
-    points = P.lower_map()[points]
-    start, end = P.runs_by_transducer(points)
+        owner, parts = np.repeat(np.arange(len(texts)), extra + 1), [p for s in split for p in s]
+    maps = P.ChunkMaps(*known.normalised(parts), known.kind, chunk)
+    start, end, points = maps.start, maps.end, maps.points
     if not len(start):
         return extra
     distinct, first, which = np.unique(P.piece_hashes(points, start, end), return_index=True, return_inverse=True)
@@ -188,11 +184,10 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
         spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
         return [transducer.tokens(points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")) for a, b in spans]
 
-    n = memo.get(distinct, compute)[which]
+    n = maps.totals(memo.get(distinct, compute)[which])
     if memo.full:
         memo.clear()
-    part = np.searchsorted(marks, start) - 1
-    return extra + np.bincount(owner[part], n, len(texts)).astype(np.int64)
+    return extra + (n if owner is None else np.bincount(owner, n, len(texts)).astype(np.int64))
 
 
 class _Count:

@@ -35,27 +35,67 @@ def test_like_the_library(texts):
     assert [ids[a:z].tolist() for a, z in zip(edges[:-1], edges[1:], strict=True)] == [byte.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_every_class_of_code_points(libraries):
-    texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 23 == 0 or c < 0x300)]
-    want = [len(e.ids) for e in libraries[0].encode_batch_fast(texts, add_special_tokens=False)]
-    assert token_fst.count_tokens(texts, WORD).tolist() == want
-
-
-def test_transducer_chunks_and_states(monkeypatch):
+def around(c):
+    """A code point where each neighbour could merge with it."""
+    x = chr(c)
+    return f"abc{x}'ll 1{x}c {x}{x}'s\n"
+
+
+def test_every_code_point(libraries):
+    """Counts and ids of texts around all code points are the library's; sixteen to a text where planes are mostly empty."""
+    tokens = packing.Tokens(BYTE)
+    texts = [around(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(map(around, range(c, c + 16))) for c in range(0x20000, 0x110000, 16)]
+    for at in range(0, len(texts), 4096):
+        own = texts[at : at + 4096]
+        want = [len(e.ids) for e in libraries[0].encode_batch_fast(own, add_special_tokens=False)]
+        assert token_fst.count_tokens(own, WORD).tolist() == want
+        ids, edges = tokens.encode(own)
+        want = [e.ids for e in libraries[1].encode_batch_fast(own, add_special_tokens=False)]
+        assert np.array_equal(ids, np.concatenate(want)) and np.array_equal(np.diff(edges), [len(w) for w in want])
+
+
+@pytest.mark.parametrize("text", ["a \U0010ffff b", "\U0010ffff", "\U0010fffe\U0010ffff's", "\ufffe\U0010ffff \U0010ffff\U0010ffff x"])
+def test_last_code_points(libraries, text):
+    assert token_fst.count_tokens([text, "a"], WORD).tolist() == [len(libraries[0].encode(text).ids), 1]
+    ids, edges = packing.Tokens(BYTE).encode(["b", text])
+    assert ids[edges[1] :].tolist() == libraries[1].encode(text).ids
+
+
+def test_transducer_chunks_and_states(monkeypatch, libraries):
     rnd = random.Random(5)
-    texts = ["".join(rnd.choices(ALPHABET[:-4], k=300)) for _ in range(20)]
-    points, _ = pretoken.with_sentinels(texts)
-    whole = pretoken.runs_by_transducer(points, chunk=1 << 20)
-    for chunk in (1, 7, 64):
-        got = pretoken.runs_by_transducer(points, chunk)
-        assert all((a == b).all() for a, b in zip(whole, got, strict=True))
-    want = token_fst.count_tokens(texts, WORD)
+    texts = ["".join(rnd.choices(ALPHABET[:-4], k=rnd.choice([0, 1, 7, 300]))) for _ in range(40)]
+    want = [len(libraries[0].encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk in (1, 2, 7, 64, 1 << 12):
+        assert token_fst.count_tokens(texts, WORD, chunk).tolist() == want
     monkeypatch.setattr(token_fst, "MOST_STATES", 50)
     token_fst._loaded.clear()
-    assert (token_fst.count_tokens(texts, WORD) == want).all()
+    assert token_fst.count_tokens(texts, WORD).tolist() == want
     token_fst._loaded.clear()
 
 
+def test_counts_come_from_the_composed_maps():
+    """Without the composition of chunk maps, texts of several chunks are counted wrong."""
+    known = token_fst.loaded(WORD)[3]
+    texts = ["understanding understandably", "it's"]
+    maps = pretoken.ChunkMaps(*known.normalised(texts), known.kind, chunk=4)
+    ones = np.ones(len(maps.start), np.int64)
+    assert maps.totals(ones).tolist() == [2, 2]
+    maps.maps[:] = 0  # every chunk said to be left in the starting state: cut words count again in each chunk
+    assert maps.totals(ones)[0] > 2
+
+
+def test_memo_keeps_values():
+    rng, memo, known = np.random.default_rng(1), pretoken.Memo(5000), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 20000, 300).astype(np.uint64))
+        got = memo.get(keys, lambda new, keys=keys: [int(k) * 7 for k in keys[new]])
+        assert (got == keys.astype(np.int64) * 7).all()
+        if memo.full:
+            memo.clear()
+        assert len(memo) <= 5000
+
+
 def test_token_counts(docs, none, rows, libraries):
     got = {r.doc_id: r for r in token_fst.token_counts(docs, WORD).collect()}
     for d, t in rows:
