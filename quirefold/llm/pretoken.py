@@ -151,7 +151,7 @@ class ChunkMaps:
     def __init__(self, points: np.ndarray, edges: np.ndarray, kind: np.ndarray, chunk: int | None = None):
         size = np.diff(edges)
         if chunk is None:  # short texts take short chunks, so that padding stays small
-            chunk = 1 << min(7, max(4, int(len(points) // max(1, len(size))).bit_length() - 2))
+            chunk = 1 << min(8, max(4, int(len(points) // max(1, len(size))).bit_length() - 2))
         self.first = np.concatenate(([0], np.cumsum(size // chunk + 1)))
         self.chunk, m = chunk, int(self.first[-1])
         self.points = np.full(m * chunk, 0x20, np.uint32)

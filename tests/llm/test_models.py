@@ -83,6 +83,17 @@ def test_chat_odd_rows(spark):
     assert chat.format_conversations(turns.where("false")).count() == 0
 
 
+def test_chat_loss_comes_from_the_examples(spark, monkeypatch):
+    talk = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d </s>")]
+    f = chat.format_conversations(spark.createDataFrame([(1, i, *t) for i, t in enumerate(talk)], "conv_id long, turn long, role string, text string"))
+    rows = chat.expand(f, materialise=True).orderBy("example").collect()
+    assert [(r.example, chat.ROLE + "user" in r.context, r.context.count("assistant")) for r in rows] == [(0, True, 0 + 1), (1, True, 2)]
+    assert tuple(chat.digest(f).first())[1:5] == digest(talk)
+    whole = chat.expand
+    monkeypatch.setattr(chat, "expand", lambda f, **k: whole(f, **k).where("example <> 0"))
+    assert tuple(chat.digest(f).first())[3:5] == digest([("assistant", "d </s>")])[2:]
+
+
 def test_chat_plan_is_native(spark):
     turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digest(chat.format_conversations(turns))._jdf.queryExecution().toString()
