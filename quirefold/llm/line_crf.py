@@ -2,10 +2,15 @@
 
 Labels are 0 (content) and 1 (boilerplate).  A line's features are bits of its shape
 (``FEATURES``); the chain adds a weight for each pair of neighbouring labels.  Weights are
-trained by maximum likelihood (forward-backward, Adam, L2) on lines of documents that
-carry a quality label: the lines of a good document count as content, those of a bad one
-as boilerplate, so a look that both share leans to the side where it is more common.  The
-training sample is bounded by ``max_train_docs``; all else reads every row.
+trained on documents that carry a quality label.  Labels of *lines* are latent: first a line's
+look alone is weighed (logistic regression over lines of good and bad documents), which says
+how much more common it is in bad ones; so a good document may hold lines that count as boilerplate and a
+bad one lines that count as content.  The chain is then fitted to these soft line labels, held between
+``1 - MOST_SURE`` and ``MOST_SURE``: the gradient is the feature count that they give less the
+expected one, by forward-backward (Adam, L2).  Documents weigh alike however long they are.
+The training sample is bounded by ``max_train_docs`` documents
+and ``max_train_lines`` lines (taken in hash order of ids; one that no longer fits is left out), and long ones are trained on in runs of ``RUN`` lines, so a fit's memory
+is bounded by lines; all else reads every row.
 
 Viterbi decoding labels the lines of every text.  ``content_share`` is the share of a
 text's words that stand in content lines.  A document is kept if no base rule fails and
@@ -14,7 +19,9 @@ more than 30 % of the words in 8-word windows that occur twice in the text.
 
 Defined results: a null or blank text has no words and fails the base rule; lines without
 words are decoded as others but weigh nothing; without usable labels the fixed
-``PRIOR`` weights decode; repeated rows give a row each; ties in decoding are content.
+``PRIOR`` weights decode; repeated rows give a row each; of labelled rows of one id the
+least text is trained on; ties in decoding are content; further columns are ignored by
+``quality`` and passed on by ``keep_quality``, whatever their names; a null id is an id.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import map_batches
+from .shared import dropped, map_batches, stored
 
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
@@ -135,50 +142,81 @@ class Model:
         return np.array(label, np.int64)
 
 
-def fit(docs: list[tuple[np.ndarray, int]], steps: int = 60, rate: float = 0.2, l2: float = 1e-3) -> Model:
-    """Maximum likelihood over (line features, document label), all documents side by side."""
+MOST_SURE, RUN = 0.9, 256
+
+
+def _forward_backward(e: np.ndarray, c: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of label 1 by line, of label pairs by neighbours) of runs side by side; m marks lines that are."""
+    alpha, beta = np.empty_like(e), np.zeros_like(e)
+    t = m.shape[1]
+    alpha[:, 0] = e[:, 0]
+    for i in range(1, t):
+        new = np.logaddexp(alpha[:, i - 1, :1] + c[0], alpha[:, i - 1, 1:] + c[1]) + e[:, i]
+        alpha[:, i] = np.where(m[:, i, None], new, alpha[:, i - 1])
+    for i in range(t - 2, -1, -1):
+        ahead = beta[:, i + 1] + e[:, i + 1]
+        new = np.logaddexp(c[:, 0] + ahead[:, :1], c[:, 1] + ahead[:, 1:])
+        beta[:, i] = np.where(m[:, i + 1, None], new, 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
+    one = np.where(m, np.exp(alpha[..., 1] + beta[..., 1] - z), 0)
+    ahead = (e + beta)[:, 1:]
+    pair = np.exp(alpha[:, :-1, :, None] + c + ahead[:, :, None, :] - z[..., None, None])
+    return one, np.where(m[:, 1:, None, None], pair, 0)
+
+
+class _Adam:
+    def __init__(self, n: int, rate: float):
+        self.rate, self.step, self.first, self.second = rate, 0, np.zeros(n), np.zeros(n)
+
+    def __call__(self, grad: np.ndarray) -> np.ndarray:
+        self.step += 1
+        self.first, self.second = 0.9 * self.first + 0.1 * grad, 0.99 * self.second + 0.01 * grad**2
+        return self.rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-8)
+
+
+def looks(runs, steps: int, rate: float, l2: float) -> np.ndarray:
+    """Weights of a line's look towards bad documents, no neighbour counted; equal looks are taken together."""
+    x = np.concatenate([f for f, *_ in runs])
+    code = x @ (1 << np.arange(x.shape[1]))
+    y = np.repeat([y for _, y, _ in runs], [len(f) for f, *_ in runs])
+    w = np.repeat([w for *_, w in runs], [len(f) for f, *_ in runs])
+    kinds, first, which = np.unique(code, return_index=True, return_inverse=True)
+    bad, all_, x = np.bincount(which, w * y), np.bincount(which, w), x[first].astype(float)
+    theta, move = np.zeros(x.shape[1]), _Adam(x.shape[1], rate)
+    for _ in range(steps):
+        theta = theta + move(x.T @ (bad - all_ / (1 + np.exp(-x @ theta))) - l2 * theta)
+    return theta
+
+
+def fit(docs: list[tuple[np.ndarray, int]], steps: int = 80, rate: float = 0.2, l2: float = 1e-3) -> Model:
+    """Weights from (line features, document label); runs of like length side by side."""
     if not docs or len({y for _, y in docs}) < 2:
         return Model(list(PRIOR.values()), PRIOR_CHAIN)
-    docs = sorted(docs, key=lambda d: len(d[0]))
-    groups = [docs[i : i + 256] for i in range(0, len(docs), 256)]  # of like length
-    packed = []
-    for g in groups:
-        t = max(len(x) for x, _ in g)
-        x = np.zeros((len(g), t, len(FEATURES)), np.float32)
-        m = np.zeros((len(g), t), bool)
-        for i, (f, _) in enumerate(g):
-            x[i, : len(f)], m[i, : len(f)] = f, True
-        packed.append((x, m, np.array([y for _, y in g])))
-    lines = sum(int(m.sum()) for _, m, _ in packed)
-    theta = np.zeros(len(FEATURES) + 4)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
+    share = {y: sum(1 for _, z in docs if z == y) for y in (0, 1)}
+    runs = [(x[i : i + RUN], y, 1.0 / (len(x) * share[y])) for x, y in docs for i in range(0, len(x), RUN)]
+    runs.sort(key=lambda r: len(r[0]))
+    look, most = looks(runs, 3 * steps, rate, l2), np.log(MOST_SURE / (1 - MOST_SURE))
+    theta = np.concatenate((look / 2, np.zeros(4)))
+    move = _Adam(len(theta), rate / 2)
+    for _ in range(steps):
         grad = np.zeros_like(theta)
-        for x, m, y in packed:
+        for at in range(0, len(runs), 256):  # padded to the longest run, one group at a time
+            g = runs[at : at + 256]
+            t = len(g[-1][0])
+            x, m = np.zeros((len(g), t, len(FEATURES)), np.float32), np.zeros((len(g), t), bool)
+            for i, (f, *_) in enumerate(g):
+                x[i, : len(f)], m[i, : len(f)] = f, True
+            weight = np.array([w for *_, w in g])
             e = np.zeros((*m.shape, 2))
             e[..., 1] = x @ theta[:-4]
             c = theta[-4:].reshape(2, 2)
-            t = m.shape[1]
-            alpha, beta = np.empty_like(e), np.zeros_like(e)
-            alpha[:, 0] = e[:, 0]
-            for i in range(1, t):
-                new = np.logaddexp(alpha[:, i - 1, :1] + c[0], alpha[:, i - 1, 1:] + c[1]) + e[:, i]
-                alpha[:, i] = np.where(m[:, i, None], new, alpha[:, i - 1])
-            for i in range(t - 2, -1, -1):
-                ahead = beta[:, i + 1] + e[:, i + 1]
-                new = np.logaddexp(c[:, 0] + ahead[:, :1], c[:, 1] + ahead[:, 1:])
-                beta[:, i] = np.where(m[:, i + 1, None], new, beta[:, i + 1] * 0)
-            z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-            p1 = np.where(m, np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]), 0)
-            grad[:-4] += np.einsum("ntf,nt->f", x, np.where(m, y[:, None] - p1, 0))
-            pair = m[:, 1:]
-            for a in range(2):
-                for b in range(2):
-                    p = np.exp(alpha[:, :-1, a] + c[a, b] + e[:, 1:, b] + beta[:, 1:, b] - z[:, None])
-                    grad[len(FEATURES) + 2 * a + b] += np.where(pair, ((y == a) & (y == b))[:, None] - p, 0).sum()
-        grad = grad / lines - l2 * theta
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+            free = _forward_backward(e, c, m)
+            sure = 1 / (1 + np.exp(-np.clip(x @ look, -most, most)))
+            pairs = np.stack((1 - sure, sure), -1)
+            pairs = np.where(m[:, 1:, None, None], pairs[:, :-1, :, None] * pairs[:, 1:, None, :], 0)
+            grad[:-4] += np.einsum("ntf,nt->f", x, np.where(m, sure - free[0], 0) * weight[:, None])
+            grad[-4:] += ((pairs - free[1]).sum(1) * weight[:, None, None]).sum(0).ravel()
+        theta = theta + move(grad - l2 * theta)
     return Model(theta[:-4], theta[-4:].reshape(2, 2))
 
 
@@ -190,21 +228,36 @@ def training_ids(labels: DataFrame, max_train_docs: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train_docs: int = 1200) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train_docs: int = 1200, max_train_lines: int = 400_000) -> Model:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = docs.join(F.broadcast(training_ids(labels, max_train_docs)), "doc_id")  # bounded by max_train_docs
-    rows = map_batches(sample, _line_bits, "y int, n int, bits binary").collect()
-    shaped = [(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=r.n * len(FEATURES)).reshape(r.n, -1).astype(bool), r.y) for r in rows]
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    shapes = stored(map_batches(sample, _line_bits, "doc_id long, y int, n int, bits binary"), "line-shapes")
+    sizes = sorted((hash_(r.doc_id), r.doc_id, r.y, r.n) for r in shapes.select("doc_id", "y", "n").collect())  # max_train_docs rows
+    chosen, lines = [], 0
+    for _, d, y, n in sizes:
+        if lines + n <= max_train_lines:
+            chosen, lines = [*chosen, (d, y)], lines + n
+    own = set(chosen)
+    rows = shapes.where(F.col("n") <= max_train_lines).where(F.col("doc_id").isin([d for d, _ in chosen])).collect() if chosen else []
+    dropped(shapes)
+    shaped = [(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=r.n * len(FEATURES)).reshape(r.n, -1).astype(bool), r.y) for r in rows if (r.doc_id, r.y) in own]
     return fit(sorted(shaped, key=lambda d: (len(d[0]), d[0].tobytes(), d[1])))
 
 
+def hash_(doc_id: int) -> int:
+    """An order of ids that has nothing to do with their size."""
+    return int(T.mix(np.array([doc_id], np.int64).view(np.uint64))[0])
+
+
 def _line_bits(batches):
     for b in batches:
         for r0, r1, data, offs in T.blocks(T.column(b, "text")):
             page = Page(data, offs)
             first = page.lines.first
             bits = [np.packbits(page.features[a:z]).tobytes() for a, z in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(1 - T.column(b, "quality")[r0:r1].to_numpy(zero_copy_only=False).astype(np.int32)), pa.array(page.lines.counts.astype(np.int32)), pa.array(bits, pa.binary())], ["y", "n", "bits"])
+            label = T.column(b, "quality")[r0:r1].to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([T.column(b, "doc_id")[r0:r1], pa.array(1 - label.astype(np.int32)), pa.array(page.lines.counts.astype(np.int32)), pa.array(bits, pa.binary())], ["doc_id", "y", "n", "bits"])
 
 
 RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, line_labels binary"

@@ -1,6 +1,7 @@
 """Operators 2, 3 and 5 against brute force."""
 
 import brute
+import numpy as np
 import pytest
 
 from quirefold.llm import decontam, license_scan, line_crf
@@ -63,8 +64,6 @@ def test_quality_base_rules(docs, rows):
 def test_viterbi_is_the_best_path(spark):
     import itertools
 
-    import numpy as np
-
     from quirefold.llm import textscan as T
 
     text = "Some plain words stand here.\nBUY!! NOW!! ***\n| a | b | c |\nplain words again and a full stop.\n\n$$$ $$$\nthe end"
@@ -87,3 +86,58 @@ def test_crf_learns_from_labels(spark):
     assert found.where("kept <> (quality = 1)").count() == 0
     none = line_crf.train(df.drop("quality"), df.select("doc_id", "quality").where("false"))
     assert none.weights.tolist() == list(line_crf.PRIOR.values())
+
+
+def _shapes(text):
+    from quirefold.llm import textscan as T
+
+    data = np.frombuffer(text.encode(), np.uint8)
+    return line_crf.Page(data, np.array([0, len(data)]))
+
+
+def _plain(i, k):
+    return f"Line {i} {k} has words enough to read, as {i}x{k} says to all who come by."
+
+
+def test_mixed_documents_are_labelled_in_part(spark):
+    """Boilerplate lines planted in good documents, and content in bad ones, are told apart; content share follows."""
+    menu = "Home | About | $$$ SALE $$$ | *** | Contact"
+    good = [(i, "\n".join(_plain(i, k) for k in range(8)), 1) for i in range(40)]
+    bad = [(100 + i, "\n".join([menu] * 6), 0) for i in range(40)]
+    planted = [(200 + i, "\n".join([menu, *(_plain(i, k) for k in range(6)), menu]), 1) for i in range(10)]
+    half = [(300 + i, "\n".join([*[menu] * 6, _plain(i, 0), _plain(i, 1)]), 0) for i in range(10)]
+    df = spark.createDataFrame(good + bad + planted + half, "doc_id long, text string, quality int")
+    model = line_crf.train(df.drop("quality"), df.select("doc_id", "quality"))
+    found = {r.doc_id: list(r.line_labels) for r in line_crf.quality(df, model).collect()}
+    shares = {r.doc_id: r.content_share for r in line_crf.quality(df, model).collect()}
+    assert all(found[d] == [0] * 8 for d, *_ in good) and all(found[d] == [1] * 6 for d, *_ in bad)
+    assert all(found[d] == [1, *[0] * 6, 1] for d, *_ in planted) and all(0 < shares[d] < 1 for d, *_ in planted)
+    assert all(found[d] == [*[1] * 6, 0, 0] for d, *_ in half)
+
+
+def test_very_long_labelled_document(spark):
+    """A labelled document of 100 000 lines trains in bounded memory; one that exceeds the bound is left out."""
+    import tracemalloc
+
+    good = [(i, "\n".join(_plain(i, k) for k in range(6)), 1) for i in range(30)]
+    bad = [(100 + i, "\n".join(["W*** O$$$ R%%% D&&&"] * 6), 0) for i in range(30)]
+    long = [(500, "\n".join(_plain(7, k % 900) for k in range(100_000)), 1)]
+    df = spark.createDataFrame(good + bad + long, "doc_id long, text string, quality int")
+    model = line_crf.train(df.drop("quality"), df.select("doc_id", "quality"), max_train_lines=150_000)
+    less = line_crf.train(df.drop("quality"), df.select("doc_id", "quality"), max_train_lines=50_000)
+    for m in (model, less):
+        assert m.decode(_shapes(good[0][1])).tolist() == [0] * 6 and m.decode(_shapes(bad[0][1])).tolist() == [1] * 6
+    shaped = [(_shapes(t).features, 1 - q) for _, t, q in good + bad + long]
+    tracemalloc.start()
+    line_crf.fit(shaped, steps=2)
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_repeated_labelled_rows_count_once(spark):
+    rows = [(i, "\n".join(_plain(i, k) for k in range(6)), 1) for i in range(20)] + [(100 + i, "W*** O$$$ R%%%\n" * 6, 0) for i in range(20)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    often = once.unionByName(once.where("doc_id = 3")).unionByName(once.where("doc_id = 3"))
+    labels = once.select("doc_id", "quality")
+    a, b = line_crf.train(once.drop("quality"), labels), line_crf.train(often.drop("quality"), labels)
+    assert (a.weights == b.weights).all() and a.chain == b.chain
