@@ -48,6 +48,34 @@ def base_phrases(docs, phrases):
     return out
 
 
+def licences(docs, idf, base, templates, top_words=8, min_coverage=0.5):
+    """(labels, score) by trying every template at every start."""
+    own = [(label, ALNUM.findall(low(p)), ALNUM.findall(low(p)), True) for p, label in base.items()]
+    own += [(label, ALNUM.findall(low(k)), ALNUM.findall(low(p)), False) for label, k, p in templates]
+    out = []
+    for _, text in docs:
+        w = ALNUM.findall(low(text))
+        present, labels, score = set(w), set(), 0.0
+        for label, key, words, is_base in own:
+            if not set(key) <= present:
+                continue
+            rare = sorted(set(words), key=lambda x: (-idf.get(x, 1.0), x))
+            rare = set(rare if is_base else rare[:top_words])
+            places = [q for q, x in enumerate(words) if x in rare]
+            at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+            for s in range(-len(words), len(w)):
+                stands = [0 <= s + q < len(w) and w[s + q] == x for q, x in enumerate(words)]
+                votes = sum(stands[q] for q in places)
+                if not all(stands[at : at + len(key)]) or votes < (len(places) if is_base else max(min(2, len(places)), (len(places) + 1) // 2)):
+                    continue
+                cover = sum(idf.get(x, 1.0) for x, ok in zip(words, stands, strict=True) if ok) / sum(idf.get(x, 1.0) for x in words)
+                if is_base or cover >= min_coverage:
+                    labels.add(label)
+                    score = max(score, cover)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
 def rules(docs):
     out = []
     for doc, text in docs:

@@ -48,6 +48,50 @@ def test_license_templates_match_themselves(spark):
         assert label in found[i].labels.split(",") and found[i].score == pytest.approx(1.0)
 
 
+def _licence_files():
+    """Whole, cut, changed and mixed passages among other words."""
+    import random
+
+    rnd, out = random.Random(11), []
+    for i in range(160):
+        label, key, passage = rnd.choice(license_scan.TEMPLATES)
+        words = passage.split()
+        for _ in range(rnd.choice([0, 0, 1, 3, 8])):
+            words[rnd.randrange(len(words))] = rnd.choice(["the", "software", "other", "license", "of"])
+        if rnd.random() < 0.3:
+            words = words[rnd.randrange(len(words)) :]
+        if rnd.random() < 0.2:
+            words.insert(rnd.randrange(len(words) + 1), "new")
+        if rnd.random() < 0.2:
+            words += rnd.choice(license_scan.TEMPLATES)[2].split()
+        lead = rnd.choices("some other words of the text are by all here license copy".split(), k=rnd.choice([0, 0, 5, 40]))
+        out.append((i, " ".join(lead + words)))
+    return [*out, (900, None), (901, ""), (902, "plain words alone")]
+
+
+@pytest.mark.parametrize("top_words", [8, 3])
+def test_license_matches_like_brute_force(spark, top_words):
+    rows = _licence_files()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = license_scan.rarity(docs)
+    n = len(rows)
+    df = {x: sum(x in set(brute.ALNUM.findall(brute.low(t))) for _, t in rows) for x in idf}
+    assert all(idf[x] == pytest.approx(np.log((1 + n) / (1 + df[x])) + 1) for x in idf)
+    want = brute.licences(rows, idf, license_scan.BASE, license_scan.TEMPLATES, top_words)
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs, top_words=top_words).collect()}
+    assert sum(bool(x) for x, _ in want) > 60 and sum(not x for x, _ in want) > 10
+    for (d, _), (labels, score) in zip(rows, want, strict=True):
+        assert got[d].labels == labels and got[d].score == pytest.approx(score), d
+
+
+def test_license_postings_decide(spark):
+    """Without rare words no template is found; a changed key phrase rejects a passage that is there otherwise."""
+    label, key, passage = next(t for t in license_scan.TEMPLATES if t[0] == "zlib")
+    docs = spark.createDataFrame([(1, passage), (2, passage.replace("plainly marked", "clearly marked"))], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan_licenses(docs).collect()} == {1: "zlib", 2: ""}
+    assert license_scan.scan_licenses(docs, top_words=0).where("labels <> ''").count() == 0
+
+
 def test_license_empty(none):
     assert license_scan.scan_licenses(none).count() == 0
 
