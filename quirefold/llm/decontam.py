@@ -13,9 +13,9 @@ consecutively in it.  The join works as a prefix filter does for containment 1:
    the others.
 4. What is left is verified word by word over the whole window.
 
-The index is built on the executors' side of a scan and broadcast in *slices* of at most
-``slice_words`` benchmark words, so that its size is bounded whatever the benchmark is;
-a larger benchmark takes more passes over the documents, whose hits are merged by row.
+The index is made on the driver and broadcast in *slices* of about ``slice_words`` benchmark
+words (a longer item is a slice of its own), one at a time: a larger benchmark takes more passes over the documents, each
+of which stores its hits and lets go of its slice, and hits are merged by row.
 
 Defined results: a null or wordless text has no words and no hits; an item without words
 or with a null id is ignored; equal items count as separate items; repeated rows give a
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import map_batches
+from .shared import fresh, map_batches, stored
 
 WINDOW, SHINGLE = 13, 4
 HITS = "row_key long, n_words long, item_id string, start long, length long"
@@ -126,8 +126,11 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
     hits, index = None, first
     rest = _chain(more, indexes)
+    del first, more
     while index is not None:
-        part = map_batches(docs, _Hits(spark.sparkContext.broadcast(index)), HITS)
+        held = spark.sparkContext.broadcast(index)
+        part = stored(map_batches(docs, _Hits(held), HITS), "benchmark-hits")
+        held.destroy()
         hits, index = part if hits is None else hits.unionByName(part), next(rest, None)
     words = hits.select("row_key", "item_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("word"))
     merged = words.groupBy("row_key").agg(F.count_distinct("word").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
@@ -147,8 +150,9 @@ def keep_clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text:
     if next(slices, None) is None:
         return map_batches(docs, _Clean(docs.sparkSession.sparkContext.broadcast(WindowIndex(first)), text), docs.schema)
     key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    found = contamination(docs.withColumn(doc_id, key), bench, doc_id, text, slice_words).where("contaminated").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)
+    (own,) = fresh(docs.columns, "row_key")
+    found = contamination(docs.select(key.alias("doc_id"), F.col(text).alias("text")), bench, slice_words=slice_words).where("contaminated").select(F.col("doc_id").alias(own)).distinct()
+    return docs.withColumn(own, key).join(found, own, "left_anti").select(*docs.columns)
 
 
 def _chain(head, tail):

@@ -18,8 +18,10 @@ model, and is counted for the model that predicts; a prediction is ``rejected``
 standard deviations above its language's mean there.  ``score`` is the winner's share when
 cross-entropies are turned into odds over ``ODDS_CHARS`` characters.
 
-Defined results: null or letterless texts are 'und' with score 0; rows with a null or
-empty language, or null text, teach nothing; if nothing can be learned all are 'und'.
+Defined results: null or letterless texts are 'und' with score 0; rows with a null language
+or null text teach nothing (an empty language is a language); a language of fewer than five
+calibration rows rejects nothing; if nothing can be learned all are 'und'; repeated rows teach
+and are predicted as often as they are; null ids are ids; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
@@ -292,9 +294,9 @@ class _Entropy:
                 yield pa.RecordBatch.from_arrays([lang.filter(pa.array(ok)), pa.array(h[ok, own[ok]])], ["lang", "h"])
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_grams: int | None = None, calibration_part: int = 32, slice_grams: int = 2_000_000) -> Model | Sliced:
-    """Count over all labelled rows; only where max_grams is given do the models hold no more grams of each language."""
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and lang <> '' and text is not null")
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", calibration_part: int = 32, slice_grams: int = 2_000_000) -> Model | Sliced:
+    """Count over all labelled rows; a model holds all their grams."""
+    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null")
     aside = F.pmod(F.xxhash64("text", "lang"), F.lit(calibration_part)) == 0
     kinds = "lang string, gram long, n long"
     taught = map_batches(rows.where(~aside), _Count(), kinds).withColumn("first", F.col("n"))
@@ -302,9 +304,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_grams
     counts = stored(taught.unionByName(later).groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("first").alias("first")), "langid-counts")
 
     def model_of(counts):
-        top = counts if max_grams is None else _most_frequent(counts, max_grams)
-        parts = -(-top.count() // slice_grams)
-        return Sliced(top, parts) if parts > 1 else Model(Sliced._collected(top))
+        parts = -(-counts.count() // slice_grams)
+        return Sliced(counts, parts) if parts > 1 else Model(Sliced._collected(counts))
 
     first = model_of(counts.where("first > 0").select("lang", "gram", F.col("first").alias("n")))
     model = model_of(counts.select("lang", "gram", "n"))
@@ -324,16 +325,6 @@ def _entropies(rows: DataFrame, model: Model | Sliced) -> DataFrame:
     return map_batches(rows, _Entropy(rows.sparkSession.sparkContext.broadcast(model)), "lang string, h double")
 
 
-def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """Each language's most frequent grams, ties in hash order: a threshold read off a histogram of ranks."""
-    rank = F.col("n") * 64 + F.pmod(F.xxhash64("gram"), F.lit(64))
-    ranked = counts.withColumn("rank", rank)
-    bins = ranked.groupBy("lang", "rank").agg(F.count("*").alias("kinds"))  # a row for each count that occurs and 64th of the grams
-    reach = F.sum("kinds").over(Window.partitionBy("lang").orderBy(F.desc("rank")))
-    least = bins.withColumn("reach", reach).where(F.col("reach") <= limit).groupBy("lang").agg(F.min("rank").alias("least"))
-    return ranked.join(F.broadcast(least), "lang").where("rank >= least").select("lang", "gram", "n")  # a row for each language
-
-
 PREDICTION = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 

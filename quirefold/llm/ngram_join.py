@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import dropped, map_batches, stored
+from .shared import dropped, fresh, map_batches, stored
 
 GRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
 BLOCK = 128
@@ -217,6 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     leaders = stored(banded.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), "leaders")
     stars = banded.join(leaders, "band").where("cls <> lead").select(F.col("cls").alias("u"), F.col("lead").alias("v"))
     groups = stored(components(stars), "groups")
+    dropped(leaders)
     # verification: a class is read once, by the key of one of its rows
     sizes = stored(groups.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     members = groups.join(sizes, "root").join(classes.select(F.col("cls").alias("node"), "row_key", "copies"), "node")
@@ -227,9 +228,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = spread.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "copies", "grams")
     keyed = keyed.repartition(max(parallel, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     links = stored(map_batches(keyed, _Verify(threshold), "u long, v long, links long, texts long"), "links")
+    dropped(groups, sizes)
     counts = links.groupBy(F.col("u").alias("cls")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     roots = stored(components(links.select("u", "v")), "roots")
     known = stored(classes.select("cls", "text_id", "copies").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").join(counts, "cls", "left"), "known")
+    dropped(classes, links, roots)
     least = stored(known.where("root is not null").groupBy("root").agg(F.min("text_id").alias("group_id")), "least")
     known = known.join(least, "root", "left").select("cls", "text_id", "copies", F.coalesce("group_id", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("root", "cls").alias("group_key"))
     out = signed.select("doc_id", "row_key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(known, "cls", "left")
@@ -250,7 +253,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The documents, one of each group: the row of the smallest id (of equal rows, one; wordless ones all stay)."""
     found = near_duplicates(docs, doc_id, text)
     first = found.where("n_grams > 0").groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("row"))
-    stay = first.select(F.col("row.row_key").alias("__row_key"), F.lit(True).alias("__one")).unionByName(found.where("n_grams = 0").select(F.col("row_key").alias("__row_key"), F.lit(False).alias("__one")).distinct())
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
-    nth = F.row_number().over(Window.partitionBy("__row_key").orderBy(F.lit(0)))  # rows of one key are equal in id and text
-    return keyed.join(stay, "__row_key").withColumn("__nth", nth).where("not __one or __nth = 1").select(*docs.columns)
+    key, one, nth = fresh(docs.columns, "row_key", "one", "nth")
+    stay = first.select(F.col("row.row_key").alias(key), F.lit(True).alias(one)).unionByName(found.where("n_grams = 0").select(F.col("row_key").alias(key), F.lit(False).alias(one)).distinct())
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))  # rows of one key are equal in id and text
+    return keyed.join(stay, key).withColumn(nth, rank).where(~F.col(one) | (F.col(nth) == 1)).select(*docs.columns)

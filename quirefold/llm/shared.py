@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import io
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,7 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))  # one machine, one process
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -82,6 +85,17 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores behind those that are taken (in any case: Spark does not tell them apart)."""
+    out, used = [], {x.lower() for x in taken}
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def to_ipc(batch: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:

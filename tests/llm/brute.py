@@ -1,6 +1,7 @@
 """Plain, slow versions of the operators' contracts."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -131,3 +132,36 @@ def near(docs):
         same = [j for j in range(n) if own[j] == own[i]] if own[i] else [i]
         out.append((least([j for j in range(n) if group[j] == group[i]]), least(same), len(same), len(linked[i]), len({own[j] for j in linked[i]} - {own[i]})))
     return out
+
+
+def _letters(text):
+    import unicodedata
+
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in f"\n\n\n{text}\n".lower())
+    return re.sub(" +", " ", kept)
+
+
+def kneser_ney(taught, probe, order=4, discount=0.75):
+    """Bits a character of the probe: interpolated Kneser-Ney by its definition."""
+    count = [Counter() for _ in range(order + 1)]
+    for t in taught:
+        s = _letters(t)
+        for i in range(1, len(s)):
+            count[order][(" " * order + s[: i + 1])[-order:]] += 1
+    for k in range(order - 1, 0, -1):  # in how many contexts a shorter gram ends
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    uniform = 1 / (len(count[1]) + 1)
+
+    def p(gram):
+        if not gram:
+            return uniform
+        k = len(gram)
+        own = {g: n for g, n in count[k].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(gram[1:])
+        return max(own.get(gram, 0) - discount, 0) / total + discount * len(own) / total * p(gram[1:])
+
+    s = _letters(probe)
+    bits = [-math.log2(p((" " * order + s[: i + 1])[-order:])) for i in range(1, len(s))]
+    return sum(bits) / max(1, len(bits))

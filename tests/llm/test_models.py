@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import brute
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -49,9 +50,29 @@ def test_kneser_ney_sums_to_one():
         assert 0.9 < np.exp2(bits).sum() <= 1.0001
 
 
-def test_model_size_is_bounded(documents):
-    model = langid.train(documents, max_grams=500)
-    assert model.langs == ["de", "en", "es", "fr"] and len(model.orders[3]) <= 2000
+def test_kneser_ney_like_brute_force():
+    rnd = random.Random(4)
+    taught = {x: ["".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(12)] for x, letters in (("x", "abcde  "), ("y", "cdefé  "), ("z", "é漢字ab "))}
+    model = langid.Model({x: np.unique(langid.grams(t)[0], return_counts=True) for x, t in taught.items()})
+    probes = ["abc de", "ffé", "q", "漢字 ab", "abcdeabcde", "é é"]
+    got = model.entropy(*langid.grams(probes))
+    for j, x in enumerate(model.langs):
+        want = [brute.kneser_ney(taught[x], p) for p in probes]
+        assert got[:, j] == pytest.approx(want, abs=1e-3)
+
+
+def test_prediction_whatever_the_partitions(documents):
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = [{r.doc_id: (r.lang_pred, r.score) for r in langid.predict(documents.repartition(n), langid.train(documents.where(~held).repartition(n))).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+
+
+def test_empty_language_is_a_language(spark):
+    rows = [("aaa aab aba", "")] * 3 + [("xyz zyx yxz", "x")] * 3 + [("qqq", None)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.langs == ["", "x"]
+    got = langid.predict(spark.createDataFrame([(1, "aab aaa"), (2, "zyx")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "", 2: "x"}
 
 
 def digest(turns):
