@@ -7,20 +7,27 @@ covers it also starts earlier: in a document of smaller id, or earlier in the sa
   (winnowing).  Equal windows have equal anchors, and neighbouring windows mostly share
   theirs, so there is about one anchor for seven words.
 * Join: anchors that occur once in the corpus are dropped.  This join is on 64-bit anchors.
-* Extend: around an anchor that occurs again, all windows that it anchors (up to 12 words
-  to the left and right) are joined on their 20-word hashes; a maximal repeat is the run of
-  windows that have an earlier twin.  Shorter repeats than 20 words never extend that far.
+* Extend: an anchor that occurs again sends its *stretch*, the words of all windows that it
+  anchors, up to 12 to the left and to the right of it.  Occurrences of an anchor meet, and each is matched
+  both ways, word by word, with the earliest occurrence that it shares a window with.
+* Keep: runs of windows that have an earlier twin are the maximal repeats; shorter ones than
+  20 words never make a window.  ``passages`` returns them as spans.
+
+Windows are grouped by a 64-bit hash and then compared by the hashes of their 20 words, one
+by one; a group that holds different words is parted by them.
 
 Texts are packed into *units* (a few MB of rows each, compressed) in a stored table.  Both
-joins move packed arrays: a unit sends each bucket of the hash space one row with its sorted
-distinct hashes, and gets one bit for each back.  Whatever occurs many times in a unit is
-sent once, so a passage that a third of all documents share makes one entry a unit, and no
-pair of documents is ever written out.  Units and buckets grow with the input between
+joins move packed arrays: a unit sends each bucket of the hash space one row with its
+distinct anchors or stretches, and gets one bit for each anchor or window back.  Whatever occurs many times in
+a unit is sent once, so a passage that a third of all documents share makes one entry a
+unit, and no pair of documents is ever written out.  Rows are at most as many as anchors.  A task takes whole
+buckets in order of the hash space and holds one at a time; units and buckets grow with the input between
 fixed bounds, which bounds the memory of a task.
 
 Defined results: a null text has no words; a null id comes behind all others; rows of equal
 id are the same document to the order, so equal windows at equal starts in them all stay;
-columns of the input that are called like the result's are replaced.
+further columns are ignored, and ``remove_repeats`` passes them on and gives its counts
+other names where theirs are taken.
 """
 
 from __future__ import annotations
@@ -32,13 +39,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textscan as T
-from .shared import from_ipc, map_batches, stored, to_ipc
+from .shared import fresh, from_ipc, map_batches, stored, to_ipc
 
 WINDOW, GRAM = 20, 8
+SPAN = WINDOW - GRAM + 1  # windows around one place of an anchor
 UNIT_BYTES = (1 << 20, 1 << 25)  # least and most bytes of text in a unit (a longer text alone)
-BUCKET_BYTES = (1 << 25, 1 << 30)  # of text for one bucket
+BUCKET_BYTES = (1 << 23, 1 << 26)  # of text for one bucket
+MOST_PARTITIONS = 20_000
 _NO_ID = np.iinfo(np.int64).max
 REPLY = "unit long, bucket int, bits binary"
 ASK = "bucket int, unit long, payload binary"
@@ -63,19 +73,19 @@ class Unit:
 
     def __init__(self, batch: pa.RecordBatch, id_: str, text: str):
         self.batch = batch
-        texts, n = T.column(batch, text), len(batch)
-        ((_, _, data, offs),) = T.blocks(texts, 1 << 62) if n else ((0, 0, np.empty(0, np.uint8), np.zeros(1, np.int64)),)
+        texts = T.column(batch, text)
+        ((_, _, data, offs),) = T.blocks(texts, 1 << 62) if len(batch) else ((0, 0, np.empty(0, np.uint8), np.zeros(1, np.int64)),)
         self.words = w = T.Words(data, offs, T.NONBLANK, False)
         ids = T.column(batch, id_).cast(pa.int64())
         self.ids = ids.fill_null(_NO_ID).to_numpy()
-        self.at, self.hash = w.windows(WINDOW)
+        n = len(w) - WINDOW + 1
+        self.at = np.flatnonzero(w.row[:n] == w.row[WINDOW - 1 :]) if n > 0 else np.empty(0, np.int64)
         grams = T.prefix_hash(w.hash, T._words)(np.arange(max(0, len(w) - GRAM + 1)), np.arange(GRAM, len(w) + 1)) if len(w) >= GRAM else np.empty(0, np.uint64)
         if len(self.at):
             least, have = grams, 1
-            span = WINDOW - GRAM + 1
-            while 2 * have <= span:  # sliding minima of 2, 4, 8, ... grams
+            while 2 * have <= SPAN:  # sliding minima of 2, 4, 8, ... grams
                 least, have = np.minimum(least[: len(least) - have], least[have:]), 2 * have
-            self.anchor = np.minimum(least[self.at], least[self.at + span - have])
+            self.anchor = np.minimum(least[self.at], least[self.at + SPAN - have])
             inner = np.unique(grams)
             count = np.diff(np.append(np.searchsorted(np.sort(grams), inner), len(grams)))
             self.anchors = np.unique(self.anchor)
@@ -85,25 +95,60 @@ class Unit:
             self.own_again = np.empty(0, bool)
 
     def candidates(self, again: np.ndarray) -> None:
-        """Extend the anchors that occur again: their windows, and which of them come first in this unit."""
-        w = self.words
-        pick = np.flatnonzero(again[np.searchsorted(self.anchors, self.anchor)]) if len(self.anchors) else np.empty(0, np.int64)
-        self.start_word = self.at[pick]
-        row = w.row[self.start_word]
-        doc, start, key = self.ids[row], self.start_word - w.first[row], self.hash[pick]
-        order = np.lexsort((start, doc, key))
-        key, doc, start, self.start_word = key[order], doc[order], start[order], self.start_word[order]
+        """Extend the anchors that occur again: their stretches, and which of them come first in this unit."""
+        w, at = self.words, self.at
+        new = np.ones(len(at), bool)
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        pieces = -(-np.diff(np.append(first, len(at))) // SPAN)  # a text that repeats itself may keep an anchor for long
+        first = np.repeat(first, pieces) + SPAN * _ramp(pieces)
+        many = np.diff(np.append(first, len(at)))
+        if len(first):
+            pick = again[np.searchsorted(self.anchors, self.anchor[first])]
+            first, many = first[pick], many[pick]
+        word, anchor = at[first], self.anchor[first]
+        row = w.row[word]
+        doc, start = self.ids[row], word - w.first[row]
+        key = w.runs(word, word + many + WINDOW - 1)
+        order = np.lexsort((start, doc, many, key, anchor))
+        anchor, key, doc, start, many, first = (x[order] for x in (anchor, key, doc, start, many, first))
         head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        first = np.flatnonzero(head)
-        self.group = np.cumsum(head) - 1
-        self.keys, self.doc, self.start = key[first], doc[first], start[first]
-        self.later = (doc != self.doc[self.group]) | (start != self.start[self.group])
+        head[1:] = (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1]) | (many[1:] != many[:-1])
+        heads = np.flatnonzero(head)
+        group = np.cumsum(head) - 1
+        self.keys, self.doc, self.start, self.many, self.word = anchor[heads], doc[heads], start[heads], many[heads], at[first[heads]]
+        later = (doc != self.doc[group]) | (start != self.start[group])
+        begin = np.cumsum(self.many) - self.many
+        self.window = at[np.repeat(first, many) + _ramp(many)]  # first words of all candidate windows
+        self.asked = np.repeat(begin[group], many) + _ramp(many)  # and the places of their answers
+        self.later = np.repeat(later, many)
+
+    def stretch_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of the distinct stretches, a blank behind each word; and each stretch's edge in them."""
+        w, size = self.words, self.many + WINDOW - 1
+        width = w.ends - w.starts + 1
+        total = np.concatenate(([0], np.cumsum(width)))
+        edges = np.concatenate(([0], np.cumsum(total[self.word + size] - total[self.word])))
+        out = np.empty(int(edges[-1]), np.uint8)
+        for i in range(0, len(size), 8192):
+            words = np.repeat(self.word[i : i + 8192], size[i : i + 8192]) + _ramp(size[i : i + 8192])
+            n = width[words]
+            end = np.cumsum(n)
+            place = np.arange(int(end[-1]), dtype=np.int32) + np.repeat((w.starts[words] - (end - n)).astype(np.int32), n)
+            own = w.data[np.minimum(place, len(w.data) - 1)]
+            own[end - 1] = 0x20
+            out[edges[i] : edges[i] + len(own)] = own
+        return out, edges
 
     def removed(self, earlier_elsewhere: np.ndarray) -> np.ndarray:
         """For each word, whether a window with an earlier twin covers it."""
-        gone = self.later | earlier_elsewhere[self.group]
-        return self.words.covered(self.start_word[gone], WINDOW)
+        gone = self.later | earlier_elsewhere[self.asked]
+        return self.words.covered(self.window[gone], WINDOW)
+
+
+def _ramp(many: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of many."""
+    return np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
 
 
 def _bucket_edges(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -151,10 +196,24 @@ class _AskAnchors(_Job):
 
 class _AskWindows(_Job):
     def __call__(self, batches):
-        for k, unit, got in self.units(batches):
-            self.resolved(unit, got["replies1"])
-            x = unit
-            yield from _asks(k, _bucket_edges(x.keys, self.buckets), lambda a, z, x=x: x.keys[a:z].tobytes() + x.doc[a:z].tobytes() + x.start[a:z].tobytes())
+        for k, x, got in self.units(batches):
+            self.resolved(x, got["replies1"])
+            flat, edges = x.stretch_bytes()
+            sizes = np.diff(edges).astype(np.uint32)
+
+            def payload(a, z, x=x, flat=flat, edges=edges, sizes=sizes):
+                parts = (x.doc[a:z], x.start[a:z], sizes[a:z], x.many[a:z].astype(np.uint8), flat[edges[a] : edges[z]])
+                raw = b"".join(p.tobytes() for p in parts)
+                return np.array([z - a, len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+            yield from _asks(k, _bucket_edges(x.keys, self.buckets), payload)
+
+
+def _stretches(payload: bytes):
+    """(doc, start, sizes in bytes, windows, words) of a unit's stretches."""
+    n, size = np.frombuffer(payload, np.int64, 2).tolist()
+    raw = np.frombuffer(pa.decompress(payload[16:], size, "zstd", asbytes=True), np.uint8)
+    return raw[: 8 * n].view(np.int64), raw[8 * n : 16 * n].view(np.int64), raw[16 * n : 20 * n].view(np.uint32), raw[20 * n : 21 * n], raw[21 * n :]
 
 
 def _by_bucket(batches):
@@ -187,19 +246,46 @@ def _answer_anchors(batches):
 
 
 def _answer_windows(batches):
-    """Does the window start earlier in another unit?"""
+    """Does the window start earlier, somewhere?  Answered for each window of each stretch."""
     for bucket, units, payloads in _by_bucket(batches):
-        sizes = [len(p) // 24 for p in payloads]
-        cut = [np.frombuffer(p, np.int64).reshape(3, -1) for p in payloads]
-        key, doc, start = np.concatenate(cut, axis=1)
-        order = np.lexsort((start, doc, key))
-        k, d, s = key[order], doc[order], start[order]
-        head = np.ones(len(k), bool)
-        head[1:] = k[1:] != k[:-1]
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = np.empty(len(k), bool)
-        later[order] = (d != d[first]) | (s != s[first])
-        yield _replies(bucket, units, later, sizes)
+        keys, words, at, doc, start, sizes, base = [], [], [], [], [], [], 0
+        for p in payloads:
+            d, s, size, many, data = _stretches(p)
+            w = T.Words(data, np.concatenate(([0], np.cumsum(size, dtype=np.int64))), T.NONBLANK, False)
+            place, key = w.windows(WINDOW)
+            keys.append(key)
+            words.append(w.hash)
+            at.append(place + base)
+            doc.append(np.repeat(d, many))
+            start.append(np.repeat(s, many) + _ramp(many.astype(np.int64)))
+            sizes.append(len(key))
+            base += len(w)
+        doc, start = np.concatenate(doc), np.concatenate(start)
+        first = earliest(np.concatenate(keys), doc, start, np.concatenate(at), np.concatenate(words))
+        yield _replies(bucket, units, (doc != doc[first]) | (start != start[first]), sizes)
+
+
+def earliest(key, doc, start, at, words) -> np.ndarray:
+    """For each window the earliest one of the same words; key: hashes, at: where its words are in words."""
+    first = earliest_of(key, doc, start)
+    todo = np.flatnonzero(first != np.arange(len(key)))
+    same = np.ones(len(todo), bool)
+    for j in range(WINDOW):  # all words, one place after the other
+        same &= words[at[todo] + j] == words[at[first[todo]] + j]
+    if not same.all():  # windows of different words have one hash: part them by their words
+        odd = np.flatnonzero(np.isin(first, np.unique(first[todo[~same]])))
+        _, which = np.unique(words[at[odd][:, None] + np.arange(WINDOW)], axis=0, return_inverse=True)
+        first[odd] = odd[earliest_of(which.ravel(), doc[odd], start[odd])]
+    return first
+
+
+def earliest_of(group: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    order = np.lexsort((start, doc, group))
+    head = np.ones(len(order), bool)
+    head[1:] = group[order][1:] != group[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    return out
 
 
 class _Digest(_Job):
@@ -214,8 +300,25 @@ class _Digest(_Job):
             yield pa.RecordBatch.from_arrays([T.column(unit.batch, self.id).cast(pa.int64()), pa.array(w.counts), pa.array(w.by_row(gone)), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+class _Passages(_Job):
+    """doc_id, first_word, n_words: the maximal repeats."""
+
+    def __call__(self, batches):
+        for _, unit, got in self.units(batches):
+            gone, w = _gone(self, unit, got).astype(np.int8), unit.words
+            edge = np.diff(np.concatenate(([0], gone, [0])))
+            edge[1:-1][(w.row[1:] != w.row[:-1]) & (gone[1:] & gone[:-1]).astype(bool)] = 2  # one ends, the next begins
+            begin, end = np.flatnonzero(edge > 0), np.flatnonzero((edge < 0) | (edge == 2))
+            row = w.row[begin]
+            yield pa.RecordBatch.from_arrays([T.column(unit.batch, self.id).cast(pa.int64()).take(pa.array(row)), pa.array(begin - w.first[row]), pa.array(end - begin)], ["doc_id", "first_word", "n_words"])
+
+
 class _Rewrite(_Job):
-    """All columns, the text without its removed words; rows that lose all their words go."""
+    """All columns, the text without its removed words, and two counts; rows that lose all their words go."""
+
+    def __init__(self, id_, text, buckets, names):
+        super().__init__(id_, text, buckets)
+        self.names = names
 
     def __call__(self, batches):
         for _, unit, got in self.units(batches):
@@ -225,20 +328,15 @@ class _Rewrite(_Job):
             for r in np.flatnonzero(n_removed).tolist():
                 texts[r] = _without(w, r, gone)
             at = b.schema.names.index(self.text)
-            column = pa.array(texts, pa.string())
-            columns, names = [column if i == at else b.column(i) for i in range(b.num_columns)], list(b.schema.names)
-            for name, value in (("n_words", w.counts), ("n_removed", n_removed)):
-                if name in names:
-                    columns[names.index(name)] = pa.array(value)
-                else:
-                    columns.append(pa.array(value))
-                    names.append(name)
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array((n_removed == 0) | (n_removed < w.counts)))
+            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(w.counts), pa.array(n_removed)], [*b.schema.names, *self.names])
+            yield out.filter(pa.array((n_removed == 0) | (n_removed < w.counts)))
 
 
 def _gone(job: _Job, unit: Unit, got) -> np.ndarray:
     job.resolved(unit, got["replies1"])
-    return unit.removed(_bits(got["replies2"], _bucket_edges(unit.keys, job.buckets)))
+    windows = np.concatenate(([0], np.cumsum(unit.many)))
+    return unit.removed(_bits(got["replies2"], windows[_bucket_edges(unit.keys, job.buckets)]))
 
 
 def _words(w: T.Words, which: np.ndarray) -> bytes:
@@ -268,9 +366,10 @@ def _without(w: T.Words, row: int, gone: np.ndarray) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def _exchange(asks: DataFrame, answer, buckets: int) -> DataFrame:
-    rows = asks.repartition(buckets, "bucket").sortWithinPartitions("bucket", "unit")
-    return map_batches(rows, answer, REPLY)
+def _exchange(asks: DataFrame, answer, buckets: int, partitions: int) -> DataFrame:
+    """Each partition takes as many buckets as any other, in order."""
+    own = F.floor(F.col("bucket").cast("long") * partitions / buckets).cast("int")
+    return map_batches(asks.repartitionById(partitions, own).sortWithinPartitions("bucket", "unit"), answer, REPLY)
 
 
 def _with(units: DataFrame, replies: DataFrame, name: str) -> DataFrame:
@@ -283,11 +382,12 @@ def _resolve(docs: DataFrame, id_: str, text: str, last, schema) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     unit_bytes = min(UNIT_BYTES[1], max(UNIT_BYTES[0], size // 20_000))
     buckets = int(max(spark.sparkContext.defaultParallelism, size // min(BUCKET_BYTES[1], max(BUCKET_BYTES[0], size // 20_000))))
+    partitions = min(buckets, MOST_PARTITIONS)
     units = stored(map_batches(docs, _Pack(text, unit_bytes), "unit long, n_bytes long, blob binary"), "units").select("unit", "blob")
     job = (id_, text, buckets)
-    first = stored(_exchange(map_batches(units, _AskAnchors(*job), ASK), _answer_anchors, buckets), "anchors")
+    first = stored(_exchange(map_batches(units, _AskAnchors(*job), ASK), _answer_anchors, buckets, partitions), "anchors")
     again = _with(units, first, "replies1")
-    second = stored(_exchange(map_batches(again, _AskWindows(*job), ASK), _answer_windows, buckets), "windows")
+    second = stored(_exchange(map_batches(again, _AskWindows(*job), ASK), _answer_windows, buckets, partitions), "windows")
     return map_batches(_with(_with(units, first, "replies1"), second, "replies2"), last(*job), schema)
 
 
@@ -297,12 +397,14 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return _resolve(docs, "doc_id", "text", _Digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each maximal repeat: doc_id, first_word (from 0), n_words (20 at least)."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return _resolve(docs, "doc_id", "text", _Passages, "doc_id long, first_word long, n_words long")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, without repeated passages; plus n_words (before) and n_removed."""
-    from pyspark.sql import types as S
-
-    schema = S.StructType([S.StructField(f.name, S.LongType()) if f.name in ("n_words", "n_removed") else f for f in docs.schema])
-    for name in ("n_words", "n_removed"):
-        if name not in schema.names:
-            schema = schema.add(name, "long")
-    return _resolve(docs, doc_id, text, _Rewrite, schema)
+    """The documents, all columns, without repeated passages; plus n_words (before) and n_removed, whose names get underscores behind them if they are taken."""
+    names = fresh(docs.columns, "n_words", "n_removed")
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
+    return _resolve(docs, doc_id, text, lambda *job: _Rewrite(*job, names), schema)

@@ -93,8 +93,8 @@ def rules(docs):
     return out
 
 
-def repeats(docs):
-    """Rows of one id are one document to the order of windows."""
+def removed_words(docs):
+    """The places of each document's words that go. Rows of one id are one document to the order of windows."""
     split = [(d, NONBLANK.findall(t or "")) for d, t in docs]
     first = {}
     last = float("inf")
@@ -102,9 +102,13 @@ def repeats(docs):
         for i in range(len(w) - 19):
             key, at = tuple(w[i : i + 20]), (last if d is None else d, i)
             first[key] = min(first.get(key, at), at)
+    return [{j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (last if d is None else d, i) for j in range(i, i + 20)} for d, w in split]
+
+
+def repeats(docs):
     out = []
-    for d, w in split:
-        gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (last if d is None else d, i) for j in range(i, i + 20)}
+    for (d, t), gone in zip(docs, removed_words(docs), strict=True):
+        w = NONBLANK.findall(t or "")
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
 

@@ -26,13 +26,56 @@ def test_substring_dedup_small_units(docs, rows, monkeypatch):
 
 def test_remove_repeats_rewrites(docs, rows):
     out = substring_dedup.remove_repeats(docs)
-    assert out.columns == docs.columns  # n_words and n_removed are replaced
+    assert out.columns == [*docs.columns, "n_words_", "n_removed_"]  # the input's own columns of these names stay
+    assert out.where("n_words <> -1 or n_removed <> -5").count() == 0
     want = brute.repeats(rows)
     assert out.count() == sum(not (r[2] and r[2] == r[1]) for r in want)
     whole = {r[0]: r for r in want}
     for r in out.where("doc_id is not null and doc_id <> 79").collect():
         assert brute.sha(" ".join(brute.NONBLANK.findall(r.text or ""))) == whole[r.doc_id][3]
-        assert (r.n_words, r.n_removed) == whole[r.doc_id][1:3]
+        assert (r.n_words_, r.n_removed_) == whole[r.doc_id][1:3]
+
+
+def test_passages_are_the_maximal_repeats(docs, rows):
+    got = sorted((r.doc_id, r.first_word, r.n_words) for r in substring_dedup.passages(docs).where("doc_id is not null and doc_id <> 79").collect())
+    want = []
+    for (d, n, *_), gone in zip(brute.repeats(rows), brute.removed_words(rows), strict=True):
+        if d is not None and d != 79:
+            begin = [i for i in sorted(gone) if i - 1 not in gone]
+            want += [(d, i, next(j for j in range(i, n + 1) if j not in gone) - i) for i in begin]
+    assert got == sorted(want) and all(n >= 20 for *_, n in got)
+
+
+def test_windows_are_compared_by_their_words():
+    """Windows of different words whose hashes collide are told apart."""
+    rng = np.random.default_rng(5)
+    words = np.concatenate([np.tile(rng.integers(0, 3, 24), 6), rng.integers(0, 2, 400)]).astype(np.uint64)
+    at = np.arange(len(words) - 19)
+    doc, start = at // 50, at
+    first = substring_dedup.earliest((words[at] % 2).astype(np.uint64), doc, start, at, words)
+    seen = {}
+    for i in at.tolist():
+        assert first[i] == seen.setdefault(words[i : i + 20].tobytes(), i)
+    assert len(set(first.tolist())) < len(at)
+
+
+def test_repeats_need_the_seeds(docs, monkeypatch):
+    """Without the stretches of anchors nothing is found."""
+    whole = substring_dedup.Unit.candidates
+    monkeypatch.setattr(substring_dedup.Unit, "candidates", lambda self, again: whole(self, again & False))
+    assert substring_dedup.UNIT_BYTES and substring_dedup._ramp(np.array([2, 0, 3])).tolist() == [0, 1, 0, 1, 2]
+    unit = substring_dedup.Unit(_batch(["a b c d e f g h i j k l m n o p q r s t u v " * 2]), "doc_id", "text")
+    unit.candidates(unit.own_again)
+    assert not len(unit.window)
+    monkeypatch.undo()
+    unit.candidates(unit.own_again)
+    assert len(unit.window) and unit.stretch_bytes()[0].tobytes().startswith(b"a b ")
+
+
+def _batch(texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
 
 
 def test_substring_dedup_empty(none):

@@ -64,3 +64,49 @@ def test_packed(spark, stages):
     run = corpus_pipeline.run(spark, SF)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, run.select(*key).collect())) == sorted(map(tuple, stages[5].select(*key).collect()))
+
+
+def _folder(path, docs, labels, bench):
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs, rows, bench_rows, tmp_path_factory):
+    """The odd rows of conftest, with columns named like those that the stages use inside."""
+    for name in ("row_key_", "one", "nth", "n_words_", "doc", "out", "quality"):
+        docs = docs.withColumn(name, F.lit(-9))
+    labels = spark.createDataFrame([(d, int(len(t or "") > 200), 0) for d, t in rows], "doc_id long, quality int, toxic int")
+    return _folder(tmp_path_factory.mktemp("odd") / "sf", docs, labels, spark.createDataFrame(bench_rows, "item_id long, text string"))
+
+
+def test_stages_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names: every stage like brute force on its input."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    columns, before = docs.columns, docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, before, odd).write.parquet(f"{tmp_path}/{k}")
+        after = spark.read.parquet(f"{tmp_path}/{k}")
+        assert after.columns == columns
+        assert after.where("n_words <> -1 or n_removed <> -5 or row_key <> -2 or n_words_ <> -9 or one <> -9 or nth <> -9 or quality <> -9").count() == 0
+        own = [(r.doc_id, r.text) for r in before.collect()]
+        kept = [(r.doc_id, r.text) for r in after.collect()]
+        if k == 0:
+            assert not {t for _, t in kept} & {t for (_, t), r in zip(own, brute.rules(own), strict=True) if r[-1]} and kept
+        if k == 1:
+            assert len(kept) == len({n[0] for n in brute.near(own)})
+        if k == 2:
+            want = [r for r in brute.repeats(own) if not r[2] or r[2] < r[1]]
+            assert sorted(brute.sha(" ".join(brute.NONBLANK.findall(t))) for _, t in kept) == sorted(r[3] for r in want)
+        if k == 3:
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{odd}/benchmark.parquet").collect()]
+            assert len(kept) == sum(not r[-1] for r in brute.contamination(own, items))
+        before = after
+    assert corpus_pipeline.run(spark, odd).select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+
+
+def test_empty_tables(spark, odd, tmp_path):
+    docs, labels, bench = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    assert corpus_pipeline.run(spark, _folder(tmp_path / "none", docs.where("false"), labels.where("false"), bench.where("false"))).count() == 0
+    assert corpus_pipeline.run(spark, _folder(tmp_path / "bare", docs, labels.where("false"), bench.where("false"))).count() > 0
