@@ -1,7 +1,13 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs.  All but the last return the columns of documents.
+and read again as the next one's docs.  All but the last return the columns of documents,
+unchanged but for ``text`` and ``n_chars``, whatever their names are.
+
+Defined results: a null or empty text, or one without words, goes in the first stage (fewer
+than 20 words); repeated rows are copies, of which the second stage keeps one; of near duplicates the
+row of the smallest doc_id stays, a null id behind all others; an empty table gives an
+empty result; labels and benchmark may be empty.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import decontam, line_crf, ngram_join, packing, substring_dedup
-from quirefold.llm.shared import stored
+from quirefold.llm.shared import dropped, fresh, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +34,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words and more that also start earlier are cut out; n_chars follows the text."""
     out = substring_dedup.remove_repeats(docs)
+    _, n_removed = fresh(docs.columns, "n_words", "n_removed")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
@@ -56,9 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage{k}")
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
