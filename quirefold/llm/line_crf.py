@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import dropped, map_batches, stored
+from .shared import collected_within, map_batches
 
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
@@ -232,24 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = docs.join(F.broadcast(training_ids(labels, max_train_docs)), "doc_id")  # bounded by max_train_docs
     sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    shapes = stored(map_batches(sample, _line_bits, "doc_id long, y int, n int, bits binary"), "line-shapes")
-    sizes = sorted((hash_(r.doc_id), r.doc_id, r.y, r.n) for r in shapes.select("doc_id", "y", "n").collect())  # max_train_docs rows
-    chosen, lines = [], 0
-    for _, d, y, n in sizes:
-        if lines + n <= max_train_lines:
-            chosen, lines = [*chosen, (d, y)], lines + n
-    own = set(chosen)
-    rows = shapes.where(F.col("n") <= max_train_lines).where(F.col("doc_id").isin([d for d, _ in chosen])).collect() if chosen else []
-    dropped(shapes)
-    shaped = [(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=r.n * len(FEATURES)).reshape(r.n, -1).astype(bool), r.y) for r in rows if (r.doc_id, r.y) in own]
+    rows = collected_within(map_batches(sample, _line_bits, "doc_id long, y int, n int, bits binary"), "doc_id", "y", "n", max_train_lines)
+    shaped = [(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=r.n * len(FEATURES)).reshape(r.n, -1).astype(bool), r.y) for r in rows]
     return fit(sorted(shaped, key=lambda d: (len(d[0]), d[0].tobytes(), d[1])))
 
 
-def hash_(doc_id: int) -> int:
-    """An order of ids that has nothing to do with their size."""
-    return int(T.mix(np.array([doc_id], np.int64).view(np.uint64))[0])
-
-
 def _line_bits(batches):
     for b in batches:
         for r0, r1, data, offs in T.blocks(T.column(b, "text")):

@@ -26,7 +26,8 @@ included), ``n_links`` (other documents linked to it: copies and similar ones) a
 
 Defined results: null and wordless texts are linked to nothing (class_id and text_id are
 their own id); repeated rows are copies; null ids count in groups but name none (a group of
-null ids alone has a null class_id); further columns are ignored.  Classes are known
+null ids alone has a null class_id); rows of null id and equal text share one key, of which a task
+reads one; further columns are ignored, whatever their names.  Classes are known
 by a 64-bit hash of their set, together with a second one where they are made.
 """
 
@@ -123,8 +124,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Sets:
+    """A class's set once a task, however many rows share the key of its row (null ids do)."""
+
     def __call__(self, batches):
+        seen: set[int] = set()
         for b in batches:
+            new = [i for i, c in enumerate(T.column(b, "cls").to_pylist()) if c not in seen and not seen.add(c)]
+            b = b if len(new) == len(b) else b.take(pa.array(new, pa.int64()))
             for r0, r1, data, offs in T.blocks(T.column(b, "text")):
                 own = pa.array([x.tobytes() for x in sets(data, offs)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(T.column(b, n)[r0:r1] for n in ("cls", "root", "blocks", "copies")), own], ["cls", "root", "blocks", "copies", "grams"])

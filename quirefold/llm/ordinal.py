@@ -8,12 +8,16 @@ a document is ``selected`` from ``min_tail`` on.
 Features are the distinct lower-cased words of a text and bits of its shape (shares of
 capitals and symbols, repetition), hashed into ``2 ** BITS`` weights; only features that
 ``min_df`` sampled documents have, and whose share of some rating is off by ``min_z``
-standard errors, are fitted, so the many words that say nothing add no noise.  Fitted on a bounded sample (``max_train_docs``, in hash order, half
-of them with the top rating at most); all documents are scored, over whole texts.
+standard errors, are fitted, so the many words that say nothing add no noise.  Fitted on a
+bounded sample (``max_train_docs`` documents, half of them with the top rating at most, and
+``max_train_features`` features, in hash order; a document that no longer fits is left out);
+all documents are scored, over whole texts.
 
 Defined results: null and wordless texts score by the thresholds alone; rows of labels
-with a null part are not used, of several for one document each counts; without labels of
-two ratings at least, weights are 0 and thresholds those of equal shares.
+with a null part are not used, of several different ones for one document each counts; of
+rated rows of one id the least text is trained on; without labels of two ratings at least,
+weights are 0 and thresholds those of equal shares; repeated rows give a row each; a null id
+is an id; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .shared import map_batches
+from .shared import collected_within, map_batches
 
 BITS, GRADES = 20, 3
 _SYMBOL = T._lut(lambda b: chr(b) in "#*$%&|<>")
@@ -132,16 +136,18 @@ class _Sampled:
                 row, feature = features(data, offs)
                 edge = np.searchsorted(row, np.arange(r1 - r0 + 1))
                 packed = [feature[a:z].astype(np.int32).tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([T.column(b, "doc_id")[r0:r1], T.column(b, "grade")[r0:r1].cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "grade", "features"])
+                yield pa.RecordBatch.from_arrays([T.column(b, "doc_id")[r0:r1], T.column(b, "grade")[r0:r1].cast(pa.int32()), pa.array(np.diff(edge)), pa.array(packed, pa.binary())], ["doc_id", "grade", "n", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train_docs: int = 6000) -> Model:
-    rated = ratings(labels)
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_train_docs: int = 6000, max_train_features: int = 20_000_000) -> Model:
+    rated = ratings(labels).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("grade")]
     top, rest = (rated.where(c).orderBy(*order).limit(max_train_docs // 2) for c in ("grade = 2", "grade < 2"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sample = docs.join(F.broadcast(top.unionByName(rest)), "doc_id")  # bounded by max_train_docs
-    rows = sorted(map_batches(sample, _Sampled(), "doc_id long, grade int, features binary").collect(), key=lambda r: (r.doc_id, r.grade, r.features))
+    sample = sample.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = collected_within(map_batches(sample, _Sampled(), "doc_id long, grade int, n long, features binary"), "doc_id", "grade", "n", max_train_features)
+    rows.sort(key=lambda r: (r.doc_id, r.grade))
     parts = [np.frombuffer(r.features, np.int32) for r in rows]
     row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     return fit(np.array([r.grade for r in rows], np.int64), row, np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -96,6 +97,19 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected_within(rows: DataFrame, doc_id: str, label: str, size: str, most: int) -> list:
+    """Rows of a bounded sample, one for each (doc_id, label), on the driver: in hash order of ids, one that no longer fits ``most`` is left out."""
+    table = stored(rows, "sample")
+    spark, chosen, used = rows.sparkSession, [], 0
+    for r in table.select(F.xxhash64(doc_id).alias("h"), doc_id, label, size).orderBy("h", doc_id, label).collect():
+        if used + r[size] <= most:
+            chosen, used = [*chosen, (r[doc_id], r[label])], used + r[size]
+    kept = spark.createDataFrame(chosen, table.select(doc_id, label).schema)
+    out = table.join(F.broadcast(kept), [doc_id, label], "left_semi").collect()
+    dropped(table)
+    return out
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, with underscores behind those that are taken (in any case: Spark does not tell them apart)."""
     out, used = [], {x.lower() for x in taken}

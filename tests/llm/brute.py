@@ -113,12 +113,17 @@ def repeats(docs):
     return out
 
 
-def near(docs):
-    """(class_id, text_id, n_copies, n_links, n_linked_texts) by position."""
+def shingle_sets(docs):
     own = []
     for _, text in docs:
         w = ALNUM.findall(low(text))
         own.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    return own
+
+
+def near(docs):
+    """(class_id, text_id, n_copies, n_links, n_linked_texts) by position."""
+    own = shingle_sets(docs)
     n = len(docs)
     linked = [{j for j in range(n) if j != i and own[i] and own[j] and len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j]) - 1e-9} for i in range(n)]
     group = list(range(n))

@@ -133,6 +133,16 @@ def test_ordinal_held_out(spark, docs, none):
     assert ordinal.grade(none, model).count() == 0
 
 
+def test_ordinal_sample_is_bounded(spark):
+    rows = [(i, f"good words stand here {i} " * 5, 1, 0) for i in range(40)] + [(100 + i, f"B{i}*** A$$$ D%%% " * 9, 0, 0) for i in range(40)]
+    rows += [(500, " ".join(f"w{k}" for k in range(30_000)), 1, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    labels = df.select("doc_id", "quality", "toxic")
+    models = [ordinal.train(d, y, max_train_features=n) for d, y, n in ((df, labels, 10_000), (df.where("doc_id <> 500"), labels, 10_000), (df.unionByName(df.where("doc_id = 3")), labels.union(labels), 10_000))]
+    assert models[0].weights.any() and all((m.weights == models[0].weights).all() and (m.thresholds == models[0].thresholds).all() for m in models)
+    assert ordinal.grade(df, models[0]).where("selected <> (doc_id < 100 or doc_id = 500)").where("doc_id <> 500").count() == 0
+
+
 def test_ordinal_without_labels(docs, spark):
     labels = spark.createDataFrame([(None, 1, 0), (3, None, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     model = ordinal.train(docs, labels)
