@@ -85,11 +85,12 @@ class Unit:
             least, have = grams, 1
             while 2 * have <= SPAN:  # sliding minima of 2, 4, 8, ... grams
                 least, have = np.minimum(least[: len(least) - have], least[have:]), 2 * have
-            self.anchor = np.minimum(least[self.at], least[self.at + SPAN - have])
-            inner = np.unique(grams)
-            count = np.diff(np.append(np.searchsorted(np.sort(grams), inner), len(grams)))
+            self.anchor = T.mix(np.minimum(least[self.at], least[self.at + SPAN - have]))  # minima crowd at 0; mixed they are even
             self.anchors = np.unique(self.anchor)
-            self.own_again = count[np.searchsorted(inner, self.anchors)] > 1
+            del least
+            grams.sort()
+            twice = np.unique(T.mix(grams[1:][grams[1:] == grams[:-1]]))
+            self.own_again = T.lookup(twice, self.anchors) >= 0
         else:
             self.anchor = self.anchors = np.empty(0, np.uint64)
             self.own_again = np.empty(0, bool)

@@ -72,6 +72,13 @@ def test_repeats_need_the_seeds(docs, monkeypatch):
     assert len(unit.window) and unit.stretch_bytes()[0].tobytes().startswith(b"a b ")
 
 
+def test_buckets_are_even():
+    rng = np.random.default_rng(3)
+    unit = substring_dedup.Unit(_batch([" ".join(map(str, rng.integers(0, 10**9, 40_000)))]), "doc_id", "text")
+    size = np.diff(substring_dedup._bucket_edges(unit.anchors, 20))
+    assert size.max() < 1.2 * size.mean() and size.min() > 0.8 * size.mean()
+
+
 def _batch(texts):
     import pyarrow as pa
 
