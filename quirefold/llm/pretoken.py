@@ -224,7 +224,7 @@ def runs_with_spaces(points: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray,
 
 
 def piece_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return T.prefix_hash(points.astype(np.uint64) + np.uint64(1), _points)(start, end)
+    return T.span_hash(lambda a, b: points[a:b].astype(np.uint64) + np.uint64(1), _points)(start, end)
 
 
 class Memo:

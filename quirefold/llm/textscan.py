@@ -5,7 +5,8 @@ an Arrow batch, about ``BLOCK_BYTES`` of them (a longer text makes a block of it
 own, so no text is ever cut).  Memory is bounded by the block, not by the batch.
 
 Hashes are 64-bit polynomial hashes with a finaliser.  They are built from prefix
-sums, so the cost per byte does not depend on word or window length.
+sums, so the cost per byte does not depend on word or window length; sums are held for a
+chunk of values at a time, so a very long text costs no more memory a byte than its words.
 """
 
 from __future__ import annotations
@@ -29,22 +30,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+CHUNK = 1 << 17  # values whose prefix sums are held at once
+
+
 class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
+    """Powers of an odd base and of its inverse modulo 2**64, as many as a chunk needs."""
 
     def __init__(self, base: int):
-        self.base, self.inverse, self.n = base, pow(base, -1, 1 << 64), 0
+        self.base = base
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            size = max(n, BLOCK_BYTES + 4096)
-            up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
-            up[0] = down[0] = 1
-            up, down = np.cumprod(up), np.cumprod(down)
-            if size > 8 * BLOCK_BYTES:  # not kept for the rare very long text
-                return up, down
-            self.up, self.down, self.n = up, down, size
-        return self.up, self.down
+    @functools.cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        up, down = (np.full(CHUNK + 1, b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
 
 
 _bytes, _words = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
@@ -66,13 +65,43 @@ def _byte_values(lower: bool) -> np.ndarray:
     return v[LOWER] if lower else v
 
 
+def span_hash(values, powers: _Powers):
+    """``get(start, end)`` gives the hashes of spans of values(a, b) in order of their starts, by prefix sums chunk by chunk."""
+    up, down = powers.tables
+
+    def sums_of(a: int, b: int) -> np.ndarray:
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values(a, b) * up[: b - a], out=sums[1:])
+        return sums
+
+    def long(a: int, b: int) -> int:
+        """Of a span longer than a chunk: its parts' sums, each times the power at its place."""
+        total = 0
+        for at in range(a, b, CHUNK):
+            total += int(sums_of(at, min(b, at + CHUNK))[-1]) * pow(powers.base, at - a, 1 << 64)
+        return total & 0xFFFFFFFFFFFFFFFF
+
+    def get(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.empty(len(start), np.uint64)
+        reach = np.maximum.accumulate(end) if len(end) else end
+        i = 0
+        while i < len(start):
+            a = int(start[i])
+            j = int(np.searchsorted(reach, a + CHUNK, "right"))
+            if j <= i:
+                out[i] = long(a, int(end[i]))
+                i += 1
+                continue
+            sums, at = sums_of(a, int(reach[j - 1])), start[i:j] - a
+            out[i:j] = (sums[end[i:j] - a] - sums[at]) * down[at]
+            i = j
+        return mix(out)
+
+    return get
+
+
 def prefix_hash(values: np.ndarray, powers: _Powers):
-    """``get(start, end)`` gives the hash of any slice of values, by prefix sums."""
-    up, down = powers.upto(len(values) + 1)
-    sums = np.empty(len(values) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return lambda start, end: mix((sums[end] - sums[start]) * down[start])
+    return span_hash(lambda a, b: values[a:b], powers)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -119,7 +148,7 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(offs) - 1), self.counts)
         if hashes:
-            self.hash = prefix_hash(_byte_values(lower)[data], _bytes)(self.starts, self.ends) if n else np.empty(0, np.uint64)
+            self.hash = span_hash(lambda a, b: _byte_values(lower)[data[a:b]], _bytes)(self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -189,7 +218,7 @@ class Lines:
         self.starts, self.ends = np.empty(len(head), np.int64), np.empty(len(head), np.int64)
         self.starts[head], self.starts[~head] = offs[:-1], breaks + 1
         self.ends[tail], self.ends[~tail] = offs[1:], breaks
-        self.hash = prefix_hash(_byte_values(False)[data], _bytes)(self.starts, self.ends) if len(data) else np.zeros(len(head), np.uint64)
+        self.hash = span_hash(lambda a, b: _byte_values(False)[data[a:b]], _bytes)(self.starts, self.ends)
 
 
 def lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
