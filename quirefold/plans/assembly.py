@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assembly as A
-from .registry import query, table
+from ..sources import files
+from .registry import query, shared, table
 
 _W = """p AS (SELECT conv_id AS page, turn, format('P{:04d}_S{:02d}_staff', conv_id, turn) AS stub, trim(text) AS body FROM conversations WHERE role = 'user'),
 n AS (SELECT conv_id AS page, format('P{:04d}_S{:02d}_staff', conv_id, turn - 1) AS stub, text AS abc FROM conversations WHERE role = 'assistant' AND conv_id % 7 <> 0),
@@ -87,16 +88,22 @@ def agg_02(spark, sf_dir):
 
 @query("snk_03", _PAGES + " SELECT page // 10 AS book, count(*)::BIGINT AS pages, sum(length(text))::BIGINT AS chars FROM t GROUP BY ALL")
 def snk_03(spark, sf_dir):
-    """Size of each finished book."""
-    return injected(spark, sf_dir).groupBy(F.expr("page div 10").alias("book")).agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+    """Each finished book as a file; its pages and their size as the file has them."""
+    books = A.book(injected(spark, sf_dir).select(F.expr("page div 10").alias("book"), "page", "text"))
+    folder = files.write_texts(books.select(F.format_string("%d_complete.md", "book").alias("name"), F.col("text").alias("body")), f"{shared(spark)}/books")
+    pages = F.split("body", r"(?:\A|\n\n---\n\n)<!-- PAGE \d+ -->\n")  # the first part stands before the first mark
+    x = files.read_texts(spark, folder).select(F.regexp_extract("name", r"\A(-?\d+)_", 1).cast("long").alias("book"), F.slice(pages, F.lit(2), F.size(pages)).alias("p"))
+    return x.select("book", F.size("p").cast("long").alias("pages"), F.aggregate("p", F.lit(0).cast("long"), lambda n, t: n + F.length(t)).alias("chars"))
 
 
 @query("snk_02", _PAGES + ", k AS (SELECT unnest(['page_' || page || '.md', 'page_' || page || '_final.md']) AS name, length(text) AS n FROM t) SELECT name, n::BIGINT AS length FROM k")
 def snk_02(spark, sf_dir):
-    """Each page under its two names."""
+    """Each page in files of its two names, read back."""
     p = F.col("page").cast("string")
     names = F.array(F.concat(F.lit("page_"), p, F.lit(".md")), F.concat(F.lit("page_"), p, F.lit("_final.md")))
-    return injected(spark, sf_dir).select(F.explode(names).alias("name"), F.length("text").cast("long").alias("length"))
+    pages = injected(spark, sf_dir).select(F.explode(names).alias("name"), F.col("text").alias("body"))
+    folder = files.write_texts(pages, f"{shared(spark)}/pages")
+    return files.read_texts(spark, folder).select("name", F.length("body").cast("long").alias("length"))
 
 
 @query("agg_15", f"WITH {_W} SELECT page, list(DISTINCT stub ORDER BY stub) AS x, count(DISTINCT stub)::BIGINT AS n FROM p GROUP BY page".replace("list(DISTINCT stub ORDER BY stub) AS x, ", "array_to_string(list_sort(list(DISTINCT stub)), ',') AS stubs, "))

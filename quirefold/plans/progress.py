@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .registry import query, table
+from ..sources import files
+from .registry import query, shared, table
 
 _PHASE = """ph AS (SELECT o_custkey AS book, count(*) AS total, count_if(o_orderstatus IN ('F', 'P')) AS sliced, count_if(o_orderstatus = 'F') AS omr, count_if(o_orderstatus = 'F' AND o_totalprice > 100000) AS vlm FROM orders GROUP BY ALL)"""
 
@@ -104,7 +105,8 @@ def src_02(spark, sf_dir):
 @query("src_03", f"WITH {_QUEUE}, {_PHASE} SELECT name, CASE WHEN ph.sliced > 0 AND ph.vlm >= ph.sliced THEN 'completed' WHEN status = 'processing' THEN 'pending' ELSE status END AS status, 'in/' || name AS path FROM q LEFT JOIN ph ON ph.book = q.id")
 def src_03(spark, sf_dir):
     """The saved queue, its status overlaid by checkpoints."""
-    q, _ = queue_and_disk(spark, sf_dir)
+    saved, _ = queue_and_disk(spark, sf_dir)
+    q = files.read_records(spark, files.write_records(saved, f"{shared(spark)}/queue"), saved.schema)
     q = q.withColumn("book", F.regexp_extract("name", r"book_(\d+)", 1).cast("long"))
     x = q.join(stm_03(spark, sf_dir).select("book", "vlm_done"), "book", "left")
     return x.select("name", F.when(F.coalesce("vlm_done", F.lit(False)), "completed").when(F.col("status") == "processing", "pending").otherwise(F.col("status")).alias("status"), F.concat(F.lit("in/"), "name").alias("path"))
@@ -159,9 +161,10 @@ def map_01(spark, sf_dir):
 
 @query("snk_05", f"WITH {_QUEUE} SELECT '{{\"name\":\"' || name || '\",\"path\":\"in/' || name || '\",\"status\":\"' || status || '\"}}' AS js FROM q")
 def snk_05(spark, sf_dir):
-    """The queue's state as JSON lines."""
+    """The queue's state as JSON lines, as they stand in the file."""
     q, _ = queue_and_disk(spark, sf_dir)
-    return q.select(F.to_json(F.struct("name", F.concat(F.lit("in/"), "name").alias("path"), "status")).alias("js"))
+    folder = files.write_records(q.select("name", F.concat(F.lit("in/"), "name").alias("path"), "status"), f"{shared(spark)}/queue")
+    return spark.read.text(folder).select(F.col("value").alias("js"))
 
 
 _PRUNE = "WHERE doc_id % 3 <> 0"
@@ -186,11 +189,12 @@ def flt_11(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("n_chars") * 1024 > 1 << 20).select("doc_id")
 
 
-@query("src_10", "SELECT page_id, length(html)::BIGINT AS length FROM pages WHERE length(html) > 1000")
+@query("src_10", "SELECT page_id, strlen(html)::BIGINT AS length FROM pages WHERE strlen(html) > 1000")
 def src_10(spark, sf_dir):
-    """A listing with keys read from names; small files do not count."""
-    files = table(spark, sf_dir, "pages").select(F.format_string("dir/page_%d_masked.png", "page_id").alias("path"), F.length("html").cast("long").alias("length"))
-    return files.where("length > 1000").select(F.regexp_extract("path", r"page_(\d+)_masked", 1).cast("long").alias("page_id"), "length")
+    """A listing of written files with keys read from names; small files do not count."""
+    pages = table(spark, sf_dir, "pages").select(F.format_string("page_%d_masked.png", "page_id").alias("name"), F.col("html").alias("body"))
+    found = files.listing(spark, files.write_texts(pages, f"{shared(spark)}/pages"))
+    return found.where("length > 1000").select(F.regexp_extract("name", r"page_(\d+)_masked", 1).cast("long").alias("page_id"), "length")
 
 
 @query("src_09", "SELECT doc_id, length(text)::BIGINT AS n, len(string_split(text, chr(10)))::INTEGER AS lines FROM documents")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +35,11 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared(spark: SparkSession) -> str:
+    """A new folder under the one the cluster names for checkpoints; one of our own only in a single process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return f"{(named or tempfile.mkdtemp()).rstrip('/')}/files-{uuid.uuid4().hex}"

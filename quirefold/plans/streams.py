@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import healing as H
@@ -11,13 +9,7 @@ from ..operators import pixels as X
 from ..sources import stages
 from ..streaming import pages as S
 from . import notation, profiles
-from .registry import ORACLE, query, table
-
-
-def shared(spark) -> str:
-    """The folder the cluster names for checkpoints; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return S.fresh(named or tempfile.mkdtemp())
+from .registry import ORACLE, query, shared, table
 
 
 def _stream(spark, df):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-BATCH = 6
+BATCH, TAIL = 6, 1200  # files in a batch; characters of a reply that the loop check sees
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -63,25 +62,21 @@ def page_filter(pages: DataFrame) -> DataFrame:
 def _stop(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     from ..functions.text import loops_at_end
 
-    text, chunks, stopped = state.get if state.exists else ("", 0, False)
+    tail, chars, chunks, stopped = state.get if state.exists else ("", 0, 0, False)
     for b in batches:
         for r in b.sort_values("seq").itertuples():
             if stopped:
                 continue
-            text, chunks = text + r.chunk, chunks + 1
-            stopped = chunks >= 15 and loops_at_end(text[-1200:])
-    state.update((text, chunks, stopped))
-    yield pd.DataFrame([(key[0], chunks, stopped, len(text))], columns=["page", "chunks", "stopped", "chars"])
+            tail, chars, chunks = (tail + r.chunk)[-TAIL:], chars + len(r.chunk), chunks + 1
+            stopped = chunks >= 15 and loops_at_end(tail)
+    state.update((tail, chars, chunks, stopped))
+    yield pd.DataFrame([(key[0], chunks, stopped, chars)], columns=["page", "chunks", "stopped", "chars"])
 
 
 def token_stream(chunks: DataFrame) -> DataFrame:
     """(page, chunks, stopped, chars) after each micro-batch: a page's reply ends early where its tail loops."""
-    return chunks.groupBy("page").applyInPandasWithState(_stop, "page long, chunks int, stopped boolean, chars int", "text string, chunks int, stopped boolean", "update", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("page").applyInPandasWithState(_stop, "page long, chunks int, stopped boolean, chars int", "tail string, chars int, chunks int, stopped boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def last_events(log: DataFrame, most: int = 300) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
-
-
-def fresh(folder: str) -> str:
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
