@@ -192,6 +192,15 @@ def top_01(spark, sf_dir):
     return m.groupBy("doc").agg(F.array_join(F.slice(F.array_sort(F.collect_list("measure")), 1, 3), ",").alias("first3"))
 
 
+@query("top_04", f"WITH {_M}, e AS (SELECT doc, event_id, CASE token WHEN '4r' THEN 'z' ELSE upper(regexp_replace(token, '[^a-g]', '', 'g')) END AS name, row_number() OVER (PARTITION BY doc ORDER BY event_id) AS n FROM d) SELECT doc, string_agg(name, ' ' ORDER BY n) AS body FROM e WHERE n <= 32 GROUP BY doc")
+def top_04(spark, sf_dir):
+    """The body of a stand-in score: the first 32 notes and rests."""
+    first = lines(spark, sf_dir).where("kind = 'data'").select("doc", "pos", F.split("line", "\t")[0].alias("token"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("pos"))).where("n <= 32")
+    name = F.when(F.col("token").contains("r"), "z").otherwise(F.upper(F.regexp_replace("token", "[^a-g]", "")))
+    return first.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", name.alias("s")))), lambda e: e["s"]), " ").alias("body"))
+
+
 @query("str_12", "SELECT conv_id, turn, replace(replace(replace(replace(x, '<s>', ' '), '</s>', ''), '<t>', chr(9)), '<b>', chr(10)) AS decoded FROM (SELECT conv_id, turn, replace(coalesce(text, ''), ' ', '<s>') || '</s><t>x<b>' AS x FROM conversations)")
 def str_12(spark, sf_dir):
     """Control tokens of the recogniser's output."""

@@ -203,6 +203,13 @@ def src_09(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.size(F.split("text", "\n")).alias("lines"))
 
 
+@query("agg_21", "SELECT l_suppkey AS project, count(*)::BIGINT AS processes, round_even(sum(l_quantity) / 16, 1)::DOUBLE AS cpu_percent, round_even(sum(l_partkey * 1024) / 1048576, 1)::DOUBLE AS rss_mb FROM lineitem GROUP BY ALL")
+def agg_21(spark, sf_dir):
+    """Use of a project's processes: CPU as a share of 16 cores, resident memory in MB (order lines as processes)."""
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("project"))
+    return p.agg(F.count("*").alias("processes"), F.bround(F.sum("l_quantity") / 16, 1).alias("cpu_percent"), F.bround(F.sum(F.col("l_partkey") * 1024) / 1048576, 1).alias("rss_mb"))
+
+
 @query("top_02", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 300")
 def top_02(spark, sf_dir):
     """The last 300 log events."""
