@@ -63,13 +63,13 @@ def con_02(spark, sf_dir):
 
 
 def _walk(gap: float) -> str:
-    """SQL of the rows that a reporter writes: from s(k, at, done), each to the next one that is gap behind it."""
-    return f"""n AS (SELECT a.k, a.at, a.done, b.at AS at2, b.done AS done2 FROM s a ASOF JOIN s b ON a.k = b.k AND a.at + {gap}::DOUBLE <= b.at),
-    w AS (SELECT k, at, done, NULL::DOUBLE AS took, NULL::BIGINT AS got FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY at, done) AS i FROM s) WHERE i = 1
-      UNION ALL SELECT n.k, n.at2, n.done2, n.at2 - n.at, (n.done2 - n.done)::BIGINT FROM n JOIN w ON n.k = w.k AND n.at = w.at AND n.done = w.done)"""
+    """SQL of the rows that a reporter writes: from s(k, tm, done), each to the next one that is gap behind it."""
+    return f"""n AS MATERIALIZED (SELECT k, tm, done, first_value(tm) OVER later AS tm2, first_value(done) OVER later AS done2 FROM s WINDOW later AS (PARTITION BY k ORDER BY tm RANGE BETWEEN {gap}::DOUBLE FOLLOWING AND UNBOUNDED FOLLOWING)),
+    w AS (SELECT k, tm, done, NULL::DOUBLE AS took, NULL::BIGINT AS got FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY tm, done) AS i FROM s) WHERE i = 1
+      UNION ALL SELECT n.k, n.tm2, n.done2, n.tm2 - n.tm, (n.done2 - n.done)::BIGINT FROM n JOIN w ON n.k = w.k AND n.tm = w.tm AND n.done = w.done WHERE n.tm2 IS NOT NULL)"""
 
 
-_DAYS = "epoch_us(ts) / 1e6::DOUBLE / 86400 AS at"
+_DAYS = "epoch_us(ts) / 1e6::DOUBLE / 86400 AS tm"
 
 
 @query(
@@ -88,7 +88,7 @@ def con_04(spark, sf_dir):
     return L.rates(e).groupBy("file").agg(F.count("*").alias("reports"), F.round(F.sum("speed"), 6).alias("speeds"), F.round(F.sum("eta"), 4).alias("etas"))
 
 
-@query("stm_08", f"WITH RECURSIVE s AS (SELECT user_id AS k, {_DAYS}, event_id AS done FROM events), {_walk(0.12)}, p AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY at, done) - 1) // 50 AS poll FROM w) SELECT k AS worker, poll::BIGINT AS poll, count(*)::BIGINT AS n FROM p GROUP BY ALL")
+@query("stm_08", f"WITH RECURSIVE s AS (SELECT user_id AS k, {_DAYS}, event_id AS done FROM events), {_walk(0.12)}, p AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY tm, done) - 1) // 50 AS poll FROM w) SELECT k AS worker, poll::BIGINT AS poll, count(*)::BIGINT AS n FROM p GROUP BY ALL")
 def stm_08(spark, sf_dir):
     """Heartbeats no closer than a gap, taken fifty to a poll."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) / 86400
