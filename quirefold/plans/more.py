@@ -121,14 +121,6 @@ def mth_12(spark, sf_dir):
     return p.select("p_partkey", F.round(X.over_images(lambda i: float(X.divide_background(i).mean()), "double")(*image), 3).alias("mean"))
 
 
-@query("src_06", "SELECT p_partkey, (p_partkey % 4000)::BIGINT AS width, p_size::BIGINT AS height FROM part")
-def src_06(spark, sf_dir):
-    """Image sizes read from file headers alone."""
-    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex(F.col("p_partkey") % 4000), 8, "0"), F.lpad(F.hex(F.col("p_size").cast("long")), 8, "0"))
-    size = lambda at: F.conv(F.hex(F.substring(F.unhex(head), at, 4)), 16, 10).cast("long")
-    return table(spark, sf_dir, "part").select("p_partkey", size(17).alias("width"), size(21).alias("height"))
-
-
 @query("snk_04", notation._REPORT + "SELECT '{\"doc\":' || doc || ',\"notes\":' || notes || ',\"rests\":' || rests || '}' AS js FROM s")
 def snk_04(spark, sf_dir):
     """The light report: records without their pictures, as JSON lines."""

@@ -77,15 +77,6 @@ def queue_and_disk(spark, sf_dir):
     return c.where("c_custkey % 3 <> 0").select(name, status), c.where("c_custkey % 5 <> 0").select(name)
 
 
-@query("src_01", f"WITH {_QUEUE}, j AS (SELECT coalesce(q.name, f.name) AS name, coalesce(status, 'pending') AS status, q.name IS NULL AS added FROM q FULL JOIN f USING (name) WHERE f.name IS NOT NULL OR status NOT IN ('pending', 'error')) SELECT name, status, added FROM j")
-def src_01(spark, sf_dir):
-    """The queue after a scan: new files join, missing ones go if nothing was done to them."""
-    q, f = queue_and_disk(spark, sf_dir)
-    j = q.withColumn("queued", F.lit(True)).join(f.withColumn("there", F.lit(True)), "name", "full_outer")
-    keep = F.col("there").isNotNull() | ~F.col("status").isin("pending", "error")
-    return j.where(keep).select("name", F.coalesce("status", F.lit("pending")).alias("status"), F.col("queued").isNull().alias("added"))
-
-
 @query("joi_07", f"WITH {_QUEUE} SELECT (q.name IS NOT NULL) AS queued, (f.name IS NOT NULL) AS on_disk, count(*)::BIGINT AS n FROM q FULL JOIN f USING (name) GROUP BY ALL")
 def joi_07(spark, sf_dir):
     """Queue and disk, full outer."""
@@ -94,14 +85,6 @@ def joi_07(spark, sf_dir):
     return j.groupBy(F.col("a").isNotNull().alias("queued"), F.col("b").isNotNull().alias("on_disk")).agg(F.count("*").alias("n"))
 
 
-@query("src_02", "WITH f AS (SELECT 'in/' || p_name || CASE WHEN p_size > 45 THEN '.txt' ELSE '.pdf' END AS path, p_size AS size FROM part) SELECT split_part(path, '/', 2) AS name, min(CASE WHEN size < 10 THEN 0 ELSE size END)::INTEGER AS pages FROM f WHERE path LIKE '%.pdf' GROUP BY ALL")
-def src_02(spark, sf_dir):
-    """Files taken in: no other kinds, each name once, no pages where a file is too small."""
-    f = table(spark, sf_dir, "part").select(F.concat(F.lit("in/"), "p_name", F.when(F.col("p_size") > 45, ".txt").otherwise(".pdf")).alias("path"), "p_size")
-    f = f.where(F.lower("path").endswith(".pdf"))
-    return f.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("name")).agg(F.min(F.when(F.col("p_size") < 10, 0).otherwise(F.col("p_size"))).alias("pages"))
-
-
 @query("src_03", f"WITH {_QUEUE}, {_PHASE} SELECT name, CASE WHEN ph.sliced > 0 AND ph.vlm >= ph.sliced THEN 'completed' WHEN status = 'processing' THEN 'pending' ELSE status END AS status, 'in/' || name AS path FROM q LEFT JOIN ph ON ph.book = q.id")
 def src_03(spark, sf_dir):
     """The saved queue, its status overlaid by checkpoints."""
@@ -119,25 +102,6 @@ def joi_08(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("checkpoints"))
 
 
-@query("src_07", "SELECT 'dpi' AS key, '200' AS value UNION ALL SELECT 'delay', '0.5' UNION ALL SELECT 'overwrite', 'false' UNION ALL SELECT 'user', c_mktsegment FROM customer WHERE c_custkey = 1")
-def src_07(spark, sf_dir):
-    """Defaults overlaid by a file's settings: the last wins."""
-    c = table(spark, sf_dir, "customer").where("c_custkey = 1")
-    over = F.map_concat(F.expr("map('dpi', '200', 'delay', '0.2', 'overwrite', 'false')").alias("m"), F.create_map(F.lit("user"), "c_mktsegment"))
-    settings = F.map_zip_with(over, F.expr("map('delay', '0.5')"), lambda k, a, b: F.coalesce(b, a))
-    return c.select(F.explode(settings).alias("key", "value"))
-
-
-_JSON = "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '{broken' ELSE props END AS js FROM events"
-
-
-@query("src_08", f"SELECT event_id, coalesce(TRY_CAST(CASE WHEN json_valid(js) THEN json_extract_string(js, '$.k') END AS BIGINT), -1) AS k FROM ({_JSON})")
-def src_08(spark, sf_dir):
-    """Checkpoints read as JSON; broken ones read as null, here -1."""
-    js = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.col("props"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json(js, "k long")["k"], F.lit(-1)).cast("long").alias("k"))
-
-
 @query("jsn_01", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS content FROM events")
 def jsn_01(spark, sf_dir):
     """Content of a streamed delta; null where a line is no JSON."""
@@ -177,12 +141,6 @@ def agg_20(spark, sf_dir):
     return d.rollup("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("freed")).select(F.coalesce("source", F.lit("(all)")).alias("book"), "files", "freed", F.bround(F.col("freed") / 1048576.0, 2).alias("mb"))
 
 
-@query("snk_06", f"SELECT doc_id, source || '/' || CASE doc_id % 3 WHEN 1 THEN 'masked' ELSE 'raw_md' END || '/' || doc_id AS path FROM documents {_PRUNE}")
-def snk_06(spark, sf_dir):
-    """Intermediate files that pruning deletes."""
-    return table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", F.concat_ws("/", "source", F.when(F.col("doc_id") % 3 == 1, "masked").otherwise("raw_md"), F.col("doc_id").cast("string")).alias("path"))
-
-
 @query("flt_11", "SELECT doc_id FROM documents WHERE n_chars * 1024 > 1048576")
 def flt_11(spark, sf_dir):
     """Weight files over 1 MiB."""
@@ -197,12 +155,6 @@ def src_10(spark, sf_dir):
     return found.where("length > 1000").select(F.regexp_extract("name", r"page_(\d+)_masked", 1).cast("long").alias("page_id"), "length")
 
 
-@query("src_09", "SELECT doc_id, length(text)::BIGINT AS n, len(string_split(text, chr(10)))::INTEGER AS lines FROM documents")
-def src_09(spark, sf_dir):
-    """Whole texts of sidecar files."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), F.size(F.split("text", "\n")).alias("lines"))
-
-
 @query("agg_21", "SELECT l_suppkey AS project, count(*)::BIGINT AS processes, round_even(sum(l_quantity) / 16, 1)::DOUBLE AS cpu_percent, round_even(sum(l_partkey * 1024) / 1048576, 1)::DOUBLE AS rss_mb FROM lineitem GROUP BY ALL")
 def agg_21(spark, sf_dir):
     """Use of a project's processes: CPU as a share of 16 cores, resident memory in MB (order lines as processes)."""

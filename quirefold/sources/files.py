@@ -7,14 +7,21 @@ The writer ends a text with one line break, which reading takes off.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """By name, to a stated number of tasks: files cost time and not bytes, so small ones are not to be put into one task."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 def write_texts(texts: DataFrame, folder: str) -> str:
     """(name, body) to one file each; a null body is an empty file, of several bodies of a name each is a file."""
     rows = texts.select(F.coalesce(F.col("body"), F.lit("")).alias("value"), F.col("name").cast("string").alias("name"))
-    rows.repartition("name").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("name").text(folder)
+    _dealt(rows, "name").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("name").text(folder)
     return folder
 
 
@@ -38,3 +45,40 @@ def write_records(rows: DataFrame, folder: str) -> str:
 def read_records(spark: SparkSession, folder: str, schema) -> DataFrame:
     """Records of JSON lines; a line that is none reads as nulls."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(folder)
+
+
+def whole(body: Column) -> Column:
+    """A text with the replacement mark for each ill-formed sequence of bytes."""
+    return F.make_valid_utf8(body)
+
+
+def page_count(body: Column) -> Column:
+    """Pages of a PDF as its plain page objects say; 0 for under 100 bytes and for what has no PDF header."""
+    pages = F.regexp_count(body, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    return F.when((F.octet_length(body) >= 100) & body.startswith("%PDF-"), pages).otherwise(0)
+
+
+def overlay(defaults: Column, given: Column) -> Column:
+    """A map of settings: what is given outweighs the defaults, keys of either side stay; null or broken settings give the defaults."""
+    return F.map_zip_with(defaults, F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+
+
+def write_kinds(rows: DataFrame, folder: str) -> str:
+    """(kind, name, body) to files below a folder of each kind."""
+    texts = rows.select(F.coalesce(F.col("body"), F.lit("")).alias("value"), F.col("kind").cast("string").alias("kind"), F.col("name").cast("string").alias("name"))
+    _dealt(texts, "kind", "name").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("kind", "name").text(folder)
+    return folder
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, name, length in bytes) of such files, from the folders' entries alone."""
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, kind string, name string").load(folder)
+    return files.select("kind", "name", (F.col("length") - 1).alias("length"))
+
+
+def prune(spark: SparkSession, folder: str, kinds: Sequence[str]) -> None:
+    """Delete the folders of the kinds, each by one call to the file system; one that is not there is passed over."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for kind in kinds:
+        path = hadoop(f"{folder}/kind={kind}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
