@@ -215,3 +215,55 @@ def not_01(spark, sf_dir):
     """Column consistency of kern texts with splits and merges."""
     cases = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in (["**kern", "4c", "*-"], ["**kern", "*^", "4c\t4e", "*v\t*v", "4d", "*-"], ["**kern\t**kern", "4c\t4d", "*\t*^", "4c\t4d\t4e", "*-\t*-\t*-"], ["**kern", "4c\t4d", "*-"], ["!! x", "**kern", "*^", "*^\t*", "4c\t4d\t4e", "*v\t*v\t*v", "4c"]))), (F.col("c_custkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "customer").select("c_custkey", K.spines_valid(cases).alias("valid"))
+
+
+# Documents of one or two voices, on which every rule of the report holds somewhere; Spark and DuckDB read the same expressions.
+_VOICE = f"CASE WHEN user_id % 7 = 1 OR user_id % 7 = 2 AND event_id % 50 <> 0 THEN '=' WHEN user_id % 7 = 0 AND event_type IN ('click', 'view', 'purchase') THEN '4r' ELSE {TOKEN} END"
+_SECOND = "CASE WHEN a = '=' THEN '=' WHEN doc % 3 = 1 THEN a WHEN event_id % 5 = 0 THEN '2d' ELSE '4c' END"
+_WIDTH = "CASE doc % 6 WHEN 0 THEN 200 WHEN 1 THEN 251 WHEN 2 THEN 700 WHEN 3 THEN 900 WHEN 4 THEN 0 END"
+_METRE = "CASE doc % 4 WHEN 1 THEN '3/4' WHEN 0 THEN NULL ELSE '4/4' END"
+_CLEF = "CASE WHEN doc % 5 = 0 THEN '*clefTAB' ELSE '*clefG2' END"
+_LENGTHS = "CASE {} WHEN '8d' THEN 0.5::DOUBLE WHEN '4.e' THEN 1.5::DOUBLE WHEN '2d' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+def voice_docs(spark, sf_dir) -> DataFrame:
+    """(doc, raw_kern, crop_width): one document a user, some with uneven columns, tablature, without a metre, without notes, or failed."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), "event_id", F.expr(_VOICE).alias("a"))
+    e = e.withColumn("line", F.when(F.col("doc") % 3 == 0, F.col("a")).otherwise(F.concat("a", F.lit("\t"), F.expr(_SECOND))))
+    body = e.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    wide = lambda c: F.when(F.col("doc") % 3 == 0, c).otherwise(F.concat(c, F.lit("\t"), c))
+    metre = F.expr(_METRE)
+    head = F.concat_ws("\n", wide(F.lit("**kern")), wide(F.expr(_CLEF)), F.when(metre.isNotNull(), wide(F.concat(F.lit("*M"), metre))))
+    text = F.concat_ws("\n", head, "body", F.when(F.col("doc") % 11 == 3, "*\t*\t*\t*"), wide(F.lit("*-")))
+    return body.select("doc", F.when(F.col("doc") % 13 == 5, "% [OMR Batch Error] x").otherwise(text).alias("raw_kern"), F.expr(_WIDTH).alias("crop_width"))
+
+
+@query(
+    "not_07_voices",
+    f"""WITH t AS (SELECT *, {_SECOND} AS b, sum((a = '=')::INT) OVER (PARTITION BY doc ORDER BY event_id) AS bars FROM (SELECT user_id AS doc, event_id, {_VOICE} AS a FROM events)),
+    d AS (SELECT *, {_LENGTHS.format("a")} AS la, {_LENGTHS.format("b")} AS lb, right(a, 1) AS p FROM t WHERE a <> '='),
+    m AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY bars) AS measure, count(*) OVER (PARTITION BY doc) AS last, beats, doc % 3 > 0 AND abs(beats - other) > 0.35 AS desync
+      FROM (SELECT doc, bars, round_even(sum(la), 3) AS beats, round_even(sum(lb), 3) AS other FROM d GROUP BY ALL)),
+    c AS (SELECT doc, arg_max(b, (n, -first)) AS common, max(n) AS times FROM (SELECT doc, round_even(beats, 1) AS b, count(*) AS n, min(measure) AS first FROM m GROUP BY ALL) GROUP BY doc),
+    o AS (SELECT m.doc, count_if(desync) AS desynced, count_if(CASE {_METRE.replace("doc", "m.doc")} WHEN '4/4' THEN abs(beats - 4) > 0.3 AND NOT ((measure = 1 OR measure = last) AND beats < 4)
+      WHEN '3/4' THEN abs(beats - 3) > 0.3 AND NOT ((measure = 1 OR measure = last) AND beats < 3) ELSE last >= 3 AND times >= 2 AND measure > 1 AND measure < last AND abs(beats - common) > 0.4 END) AS off FROM m JOIN c ON c.doc = m.doc GROUP BY m.doc),
+    k AS (SELECT doc, count_if(p = 'r') AS rests, count_if(p <> 'r') AS notes, doc % 3 > 0 AND bool_and(a = b) AS twin FROM d GROUP BY doc),
+    i AS (SELECT *, sum((p IS DISTINCT FROM prev)::INT) OVER (PARTITION BY doc ORDER BY event_id) AS island FROM (SELECT *, lag(p) OVER (PARTITION BY doc ORDER BY event_id) AS prev FROM d)),
+    r AS (SELECT doc, max(n) AS run, sum(n) AS tokens FROM (SELECT doc, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY doc),
+    x AS (SELECT u.doc, {_WIDTH.replace("doc", "u.doc")} AS w, coalesce(notes, 0) AS notes, coalesce(rests, 0) AS rests, coalesce(twin, false) AS twin, coalesce(desynced, 0) AS desynced, coalesce(off, 0) AS off, coalesce(run, 0) AS run, coalesce(tokens, 0) AS tokens
+      FROM (SELECT DISTINCT doc FROM t) u LEFT JOIN k USING (doc) LEFT JOIN o USING (doc) LEFT JOIN r USING (doc)),
+    y AS (SELECT *, coalesce(w > 0 AND w < 250 AND notes > 20, false) AS crowded, coalesce(w >= 600 AND notes = 0, false) AS dropped FROM x),
+    z AS (SELECT doc, list_filter([{{'a': CASE WHEN doc % 11 = 3 THEN 'SPINE_MISALIGNMENT' END, 'p': 0.5::DOUBLE}}, {{'a': CASE WHEN doc % 5 = 0 THEN 'TABLATURE_CONTAMINATION' END, 'p': 0.4::DOUBLE}},
+      {{'a': CASE WHEN desynced > 0 THEN 'VOICE_DESYNCHRONIZATION' END, 'p': least(0.35::DOUBLE, 0.1::DOUBLE * desynced)}}, {{'a': CASE WHEN twin THEN 'DUPLICATE_VOICE' END, 'p': 0.25::DOUBLE}},
+      {{'a': CASE WHEN off > 0 THEN 'DURATION_IMBALANCE' END, 'p': least(0.35::DOUBLE, 0.1::DOUBLE * off)}}, {{'a': CASE WHEN notes = 0 AND rests = 0 THEN 'ZERO_NOTES_DETECTED' END, 'p': 0.85::DOUBLE}},
+      {{'a': CASE WHEN notes = 0 AND rests > 0 THEN 'RESTS_ONLY' END, 'p': 0.4::DOUBLE}}, {{'a': CASE WHEN crowded THEN 'EXCESSIVE_NOTE_DENSITY' END, 'p': 0.4::DOUBLE}},
+      {{'a': CASE WHEN NOT crowded AND w > 0 AND w < 400 AND notes / w::DOUBLE * 100 > 18 THEN 'HIGH_NOTE_DENSITY' END, 'p': 0.3::DOUBLE}}, {{'a': CASE WHEN dropped THEN 'DROPPED_STAFF' END, 'p': 0.45::DOUBLE}},
+      {{'a': CASE WHEN NOT dropped AND w >= 800 AND notes <= 1 AND rests <= 1 THEN 'SPARSE_DROPPED_STAFF' END, 'p': 0.35::DOUBLE}}, {{'a': CASE WHEN tokens >= 8 AND run >= 8 THEN 'CONSECUTIVE_NOTE_LOOP' END, 'p': 0.35::DOUBLE}}], lambda q: q.a IS NOT NULL) AS q FROM y),
+    s AS (SELECT doc, list_transform(q, lambda v: v.a) AS a, round(greatest(0, least(1, 1 - coalesce(list_sum(list_transform(q, lambda v: v.p)), 0))), 6)::DOUBLE AS score, doc % 13 = 5 AS missing FROM z)
+    SELECT doc, CASE WHEN missing THEN 0 ELSE score END::DOUBLE AS score, NOT missing AND score >= 0.65 AND NOT list_has_any(a, ['SPINE_MISALIGNMENT', 'DROPPED_STAFF']) AS is_valid, CASE WHEN missing THEN 'EMPTY_OR_ERROR' ELSE array_to_string(a, ',') END AS anomalies,
+    CASE WHEN NOT missing THEN {_METRE} END AS signature, CASE WHEN missing THEN '' ELSE {_CLEF} END AS clefs FROM s""",
+)
+def not_07_voices(spark, sf_dir):
+    """The report with its anomalies over documents of two voices, with the verdict on their columns."""
+    r = N.validate(voice_docs(spark, sf_dir), K.spines_valid(F.split("raw_kern", "\n")))
+    return r.select("doc", "score", "is_valid", F.array_join("anomalies", ",").alias("anomalies"), "signature", F.array_join("clefs", ",").alias("clefs"))

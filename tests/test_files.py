@@ -1,5 +1,7 @@
 """Texts and records written to files and read back."""
 
+from pyspark.sql import functions as F
+
 from quirefold.sources import files
 
 
@@ -19,3 +21,24 @@ def test_records_round_trip(spark, tmp_path):
         f.write("{invalid_json: true,\n")
     got = {tuple(r) for r in files.read_records(spark, folder, df.schema).collect()}
     assert got == {(1, 'q "x"', None), (2, None, 3.5), (None, None, None)}
+
+
+def test_odd_bytes_pages_and_settings(spark):
+    raw = spark.createDataFrame([(b"a\xffb\xc3",), ("ü".encode(),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(files.whole(F.col("b").cast("string"))).collect()] == ["a�b�", "ü", None]
+    page = "<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] >>\n"
+    texts = ["%PDF-1.4 /Type/Pages " + page * 3, "%PDF-1.4 " + page, "no header" + page * 3, "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(files.page_count(F.col("t"))).collect()
+    assert [r[0] for r in got] == [3, 0, 0, 0, 0]  # the second is under 100 bytes
+    rows = spark.createDataFrame([({"dpi": "300", "x": None},), (None,)], "m map<string,string>")
+    got = rows.select(files.overlay(F.expr("map('dpi', '200', 'x', 'y', 'z', '1')"), F.col("m"))).collect()
+    assert [r[0] for r in got] == [{"dpi": "300", "x": "y", "z": "1"}, {"dpi": "200", "x": "y", "z": "1"}]
+
+
+def test_pruning_deletes(spark, tmp_path):
+    rows = [("masked", "b/1", "xx"), ("masked", "b/2", ""), ("final", "b/1", "yyy"), ("raw", "c/1", None)]
+    folder = files.write_kinds(spark.createDataFrame(rows, "kind string, name string, body string"), f"{tmp_path}/work")
+    seen = lambda: {(r.kind, r.name): r.length for r in files.manifest(spark, folder).collect()}
+    assert seen() == {(k, n): len(b or "") for k, n, b in rows}
+    files.prune(spark, folder, ("masked", "none"))
+    assert seen() == {("final", "b/1"): 3, ("raw", "c/1"): 0}
