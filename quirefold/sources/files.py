@@ -31,10 +31,25 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("name", F.regexp_replace("value", r"\n\z", "").alias("body"))
 
 
+def _entries(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    """(keys, length in bytes) of files in folders named by keys, from the folders' entries alone: no content is read.
+
+    A folder without any such entry has no columns of keys that the reader could find; it gives no rows.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(path), False
+    while not found and entries.hasNext():  # ends at the first named folder; marks of the writer stand beside them
+        found = entries.next().getPath().getName().startswith(f"{keys[0]}=")
+    named = "".join(f", {k} string" for k in keys)
+    if not found:
+        return spark.createDataFrame([], "length long" + named).select(*keys, "length")
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary" + named).load(folder)
+    return files.select(*keys, (F.col("length") - 1).alias("length"))
+
+
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, length in bytes) of the files, from the folder's entries alone: no content is read."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, name string").load(folder)
-    return files.select("name", (F.col("length") - 1).alias("length"))
+    """(name, length in bytes) of the files that write_texts wrote."""
+    return _entries(spark, folder, "name")
 
 
 def write_records(rows: DataFrame, folder: str) -> str:
@@ -71,9 +86,8 @@ def write_kinds(rows: DataFrame, folder: str) -> str:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, name, length in bytes) of such files, from the folders' entries alone."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, kind string, name string").load(folder)
-    return files.select("kind", "name", (F.col("length") - 1).alias("length"))
+    """(kind, name, length in bytes) of the files that write_kinds wrote and that are left."""
+    return _entries(spark, folder, "kind", "name")
 
 
 def prune(spark: SparkSession, folder: str, kinds: Sequence[str]) -> None:

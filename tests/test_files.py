@@ -42,3 +42,5 @@ def test_pruning_deletes(spark, tmp_path):
     assert seen() == {(k, n): len(b or "") for k, n, b in rows}
     files.prune(spark, folder, ("masked", "none"))
     assert seen() == {("final", "b/1"): 3, ("raw", "c/1"): 0}
+    files.prune(spark, folder, ("final", "raw"))
+    assert seen() == {}

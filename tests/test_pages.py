@@ -117,10 +117,10 @@ def test_stateful_filter_keeps_state_over_batches(spark, tmp_path):
     assert out.count() == 200 and out.exceptAll(want).count() == 0
 
 
-@pytest.mark.parametrize("name", ["not_07", "not_07_voices", "agg_01", "joi_12", "win_02", "flt_04", "src_01", "src_02", "src_06", "src_07", "src_08", "src_09", "snk_06", "con_01", "con_02", "con_04", "stm_08", "api_07", "api_11", "not_05", "not_06", "not_08"])
+@pytest.mark.parametrize("name", ["not_07", "not_07_voices", "agg_01", "joi_12", "win_02", "flt_04", "src_01", "src_02", "src_06", "src_07", "src_08", "src_09", "src_10", "snk_06", "con_01", "con_02", "con_04", "stm_08", "api_07", "api_11", "not_05", "not_06", "not_08"])
 def test_queries_on_empty_tables(spark, tmp_path, name):
     from quirefold import plans
 
-    for t in ("events", "conversations", "lineitem", "orders", "customer", "supplier", "part", "documents"):
+    for t in ("events", "conversations", "lineitem", "orders", "customer", "supplier", "part", "documents", "pages"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert plans.QUERIES[name](spark, str(tmp_path)).count() == 0
