@@ -122,3 +122,17 @@ def oe_stages(spark, sf_dir):
     """The contract of external stages: error rows where the model is absent."""
     stubs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("stub"))
     return stages.TRANSCRIBE.apply(stubs).select("stub", "status", "error")
+
+
+@query("src_04", "SELECT p_partkey::VARCHAR AS sheet, 'error' AS status, 'RuntimeError: pdf rasteriser is not installed' AS error FROM part")
+def src_04(spark, sf_dir):
+    """The rasteriser's contract: each sheet comes back, with an error where no rasteriser is installed."""
+    sheets = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sheet"))
+    return stages.RASTERISE.apply(sheets).select("sheet", "status", "error")
+
+
+@query("img_21", "SELECT p_partkey::VARCHAR AS stub, 'error' AS status, 'RuntimeError: super resolution is not installed' AS error FROM part")
+def img_21(spark, sf_dir):
+    """The enlarger's contract: each crop comes back, with an error where no model is installed."""
+    stubs = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("stub"))
+    return stages.ENHANCE.apply(stubs).select("stub", "status", "error")
