@@ -6,10 +6,11 @@ first character of each control string (``</s>`` becomes ``<\\/s>``), so none of
 stand in a formatted turn but where the template put it.
 
 A conversation is formatted once.  ``expand`` explodes every assistant turn into an example of
-its own, a row each: the context is all that stands before its reply, as a span of the formatted
-conversation, and only the reply is trainable and stands in the row.  So the expansion is
-linear in the text; ``materialise=True`` also writes out the contexts, which is quadratic in turns.
-``digest`` reads the loss off the examples, in their order, and the turns off the formatted text.
+its own, a row each: its context, which is all that stands before its reply, then the reply, and
+only the reply is under the loss mask.  Contexts are written out, so the expansion is quadratic in the
+turns of a conversation; only spans are exploded, so one context at a time is held, not all of them.
+``digest`` reads the loss off the examples' texts by their masks, in their order, and the turns off
+the formatted text.
 
 A conversation is one string, and so a row: its digest is one of that string.
 
@@ -53,31 +54,31 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     return parts.select("conv_id", "formatted", F.col("spans.start").alias("target_starts"), F.col("spans.end").alias("target_ends"))
 
 
-def expand(formatted: DataFrame, materialise: bool = False, whole: bool = False) -> DataFrame:
-    """One row for each assistant turn: conv_id, example (from 0), target_start, target_end, target (as formatted).
+def expand(formatted: DataFrame, materialise: bool = True, whole: bool = False) -> DataFrame:
+    """One row for each assistant turn: conv_id, example (from 0), target_start, target_end, target, context (as formatted).
 
-    The example's context is formatted[0, target_start), its loss mask [target_start, target_end).
-    materialise: with the context written out.  whole: a row of example -1 for each
-    conversation holds its formatted text as target, so that both travel in one pass.
+    The example's text is context + target, its context formatted[0, target_start), its loss mask
+    [target_start, target_end).  materialise=False: contexts stay spans, without their column.
+    whole: a row of example -1 for each conversation holds its formatted text as target, so
+    that both travel in one pass.
     """
-    spans = F.arrays_zip("target_starts", "target_ends")
-    size = F.length("formatted").cast("long")
-
-    def example(s, k):
-        start, end = s["target_starts"], s["target_ends"]
-        own = F.substr("formatted", (start + 1).cast("int"), (end - start).cast("int"))
-        parts = [k.cast("long").alias("example"), start.alias("target_start"), end.alias("target_end"), own.alias("target")]
-        if materialise:
-            parts.append(F.substr("formatted", F.lit(1), start.cast("int")).alias("context"))
-        return F.struct(*parts)
-
-    rows = F.transform(spans, example)
+    spans = F.transform(
+        F.arrays_zip("target_starts", "target_ends"),
+        lambda s, k: F.struct(k.cast("long").alias("example"), s["target_starts"].alias("target_start"), s["target_ends"].alias("target_end")),
+    )
     if whole:
-        parts = [F.lit(-1).cast("long").alias("example"), F.lit(0).cast("long").alias("target_start"), size.alias("target_end"), F.col("formatted").alias("target")]
-        if materialise:
-            parts.append(F.lit("").alias("context"))
-        rows = F.concat(F.array(F.struct(*parts)), rows)
-    return formatted.select("conv_id", F.explode(rows).alias("r")).select("conv_id", "r.*")
+        size = F.length("formatted").cast("long")
+        spans = F.concat(F.array(F.struct(F.lit(-1).cast("long").alias("example"), F.lit(0).cast("long").alias("target_start"), size.alias("target_end"))), spans)
+    rows = formatted.select("conv_id", "formatted", F.explode(spans).alias("r")).select("conv_id", "formatted", "r.*")
+    parts = [masked(F.col("formatted")).alias("target")]
+    if materialise:
+        parts.append(F.substr("formatted", F.lit(1), F.col("target_start").cast("int")).alias("context"))
+    return rows.select("conv_id", "example", "target_start", "target_end", *parts)
+
+
+def masked(text: Column) -> Column:
+    """What stands under the loss mask of an example's row."""
+    return F.substr(text, (F.col("target_start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
 
 
 def turns_of(formatted: Column) -> Column:
@@ -89,8 +90,9 @@ def turns_of(formatted: Column) -> Column:
 def digest(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the examples."""
     rows = expand(formatted, whole=True)  # still partitioned by conversation
-    reply = F.when(F.col("example") >= 0, F.struct("example", unescape(F.col("target")).alias("text")))
-    back = rows.groupBy("conv_id").agg(F.max(F.when(F.col("example") < 0, F.col("target"))).alias("formatted"), F.sort_array(F.collect_list(reply)).alias("replies"))
+    own = masked(F.concat("context", "target"))
+    read = rows.select("conv_id", F.when(F.col("example") < 0, own).alias("formatted"), F.when(F.col("example") >= 0, F.struct("example", unescape(own).alias("text"))).alias("reply"))
+    back = read.groupBy("conv_id").agg(F.max("formatted").alias("formatted"), F.sort_array(F.collect_list("reply")).alias("replies"))
     back = back.select("conv_id", turns_of(F.col("formatted")).alias("turns"), F.array_join("replies.text", "").alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -115,6 +115,30 @@ def test_chat_loss_comes_from_the_examples(spark, monkeypatch):
     assert tuple(chat.digest(f).first())[3:5] == digest([("assistant", "d </s>")])[2:]
 
 
+def test_chat_loss_needs_the_contexts(spark, monkeypatch):
+    talk = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d </s>"), ("user", "e")]
+    f = chat.format_conversations(spark.createDataFrame([(1, i, *t) for i, t in enumerate(talk)], "conv_id long, turn long, role string, text string"))
+    formatted = f.first().formatted
+    rows = chat.expand(f).orderBy("example").collect()
+    assert [r.context + r.target for r in rows] == [formatted[: r.target_end] for r in rows] and len(rows) == 2
+    assert tuple(chat.digest(f).first())[1:5] == digest(talk)
+    whole = chat.expand
+    monkeypatch.setattr(chat, "expand", lambda f, **k: whole(f, **k).withColumn("context", F.lit("")))
+    got = tuple(chat.digest(f).first())[1:5]
+    assert got[:2] == digest(talk)[:2] and got[2:] != digest(talk)[2:]
+
+
+def test_chat_long_conversation(spark):
+    """Contexts are written out, one at a time, behind the explosion of spans."""
+    n, body = 800, "x" * 500
+    f = chat.format_conversations(spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 1, 'assistant', 'user') role", f"'{body}' text"))
+    assert tuple(chat.digest(f).first())[1:5] == digest([("assistant" if i % 2 else "user", body) for i in range(n)])
+    turn = [len(f"{chat.OPEN}{chat.ROLE}{r}{chat.BODY}{body}{chat.CLOSE}") for r in ("user", "assistant")]
+    want = sum(k * sum(turn) + sum(turn) - len(body + chat.CLOSE) for k in range(n // 2))
+    got = chat.expand(f).agg(F.count("*").alias("n"), F.sum(F.octet_length("context")).alias("size")).first()
+    assert (got.n, got.size) == (n // 2, want)
+
+
 def test_chat_plan_is_native(spark):
     turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digest(chat.format_conversations(turns))._jdf.queryExecution().toString()
