@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import time
 import urllib.error
+from hashlib import md5
 
 import pandas as pd
 from pyspark.errors import StreamingQueryException
@@ -20,7 +21,7 @@ from ..operators import staves as V
 from ..sources import client as L
 from ..sources.stages import Stage
 from ..streaming import control as R
-from . import more, streams
+from . import streams
 from .registry import query, shared, table
 
 
@@ -261,9 +262,8 @@ def api_07(spark, sf_dir):
 @query("snk_01")
 def snk_01(spark, sf_dir):
     """Pages written as PNG and read back: their size from the header, their ink from the picture."""
-    p, image = more._image(spark, sf_dir)
     folder = f"{shared(spark)}/png"
-    p.select("p_partkey", V.png_of(*image).alias("png")).write.parquet(folder)
+    streams._of_pages(spark, sf_dir, lambda i: (V.to_png(i),), "png binary").write.parquet(folder)
     ink = X.over_images(lambda file: int((V.from_png(file.tobytes()) < 128).sum()), "long")  # a file is one row of bytes
     size = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("int")
     return spark.read.parquet(folder).select("p_partkey", size(17).alias("width"), size(21).alias("height"), ink(F.lit(1), F.length("png"), F.col("png")).alias("ink"))
@@ -272,30 +272,37 @@ def snk_01(spark, sf_dir):
 @query("img_06")
 def img_06(spark, sf_dir):
     """Level crops: their height, tilt and bend."""
-    p, image = more._image(spark, sf_dir)
-    return p.select("p_partkey", V.normalised_of(*image).alias("c")).select("p_partkey", "c.height", "c.tilt", "c.bend", F.md5("c.data").alias("md5"))
+
+    def level(img):
+        out, tilt, most = V.normalise(img)
+        return out.shape[0], tilt, most, md5(out.tobytes()).hexdigest()
+
+    return streams._of_pages(spark, sf_dir, level, "height int, tilt double, bend double, md5 string")
 
 
 @query("img_07")
 def img_07(spark, sf_dir):
     """The staff lines of a crop alone."""
-    p, image = more._image(spark, sf_dir)
-    return p.select("p_partkey", V.skeleton_of(*image).alias("s")).select("p_partkey", "s.*")
+
+    def lines(img):
+        mask, thick, space, rows = V.skeleton(img)
+        return thick, space, rows, int(mask.sum())
+
+    return streams._of_pages(spark, sf_dir, lines, "thick int, space int, lines array<int>, ink long")
 
 
 @query("img_13")
 def img_13(spark, sf_dir):
     """Where the first two staves of a page are joined: some pages have a bar at their left, drawn here by key."""
-    p, _ = more._image(spark, sf_dir)
 
     def joined(img):
         gap = round(X.spacing(img))
         low, top = 30 + 4 * gap + 2, 30 + 12 * gap
         if top > 279:
-            return None
+            return (None,)
         drawn = img.copy()
         if gap % 2 == 0:
             drawn[30 : top + 4 * gap, 28:31] = 20
-        return V.connector(drawn, (30, low), (30, top), gap)
+        return (V.connector(drawn, (30, low), (30, top), gap),)
 
-    return p.select("p_partkey", X.over_images(joined, "int")("height", "width", "data").alias("x"))
+    return streams._of_pages(spark, sf_dir, joined, "x int")

@@ -15,11 +15,6 @@ from . import geometry, notation, profiles, progress, streams  # noqa: F401
 from .registry import ORACLE, query, shared, table
 
 
-def _image(spark, sf_dir):
-    p = streams._pages(spark, sf_dir)
-    return p, (F.col("height"), F.col("width"), F.col("data"))
-
-
 @query("agg_19")
 def agg_19(spark, sf_dir):
     """Robust line through each profile (iterative, one group a profile of fixed length)."""
@@ -43,8 +38,8 @@ def joi_17(spark, sf_dir):
 @query("img_03")
 def img_03(spark, sf_dir):
     """Skew with the fallback for pages that hold next to nothing."""
-    p, image = _image(spark, sf_dir)
-    return p.select("p_partkey", F.when(F.length("data") < 100, 0.0).otherwise(F.round(X.skew_of(*image), 3)).alias("skew"))
+    p = streams._of_pages(spark, sf_dir, lambda i: (0.0 if i.size < 100 else X.skew(i),), "skew double")
+    return p.withColumn("skew", F.round("skew", 3))
 
 
 @query("img_08")
@@ -85,9 +80,8 @@ def img_15(spark, sf_dir):
 @query("img_16")
 def img_16(spark, sf_dir):
     """Five-line staves of a page: row ink, islands of dark rows, evenly spaced fives."""
-    p, image = _image(spark, sf_dir)
-    dark = X.over_images(lambda i: np.flatnonzero((i < 128).mean(1) > 0.5).astype(np.int64).tolist(), "array<long>")
-    rows = p.select(F.col("p_partkey").alias("key"), F.explode(dark(*image)).alias("pos"))
+    p = streams._of_pages(spark, sf_dir, lambda i: (np.flatnonzero((i < 128).mean(1) > 0.5).tolist(),), "dark array<long>")
+    rows = p.select(F.col("p_partkey").alias("key"), F.explode("dark").alias("pos"))
     lines = P.islands(rows, 2).select("key", F.col("first").alias("pos"))
     return P.five_lines(lines)
 
@@ -95,16 +89,13 @@ def img_16(spark, sf_dir):
 @query("img_18")
 def img_18(spark, sf_dir):
     """Detected boxes whitened on their page; the masked page's ink is what is left."""
-    p, image = _image(spark, sf_dir)
 
-    def mask(img):
-        out = img.copy()
-        out[20:120, 20:460] = 255
-        return out.tobytes()
+    def masked(img):
+        left = img.copy()
+        left[20:120, 20:460] = 255
+        return int((left < 128).sum()), int((img < 128).sum())
 
-    masked = p.withColumn("masked", X.over_images(mask, "binary")(*image))
-    left = X.over_images(lambda i: int((i < 128).sum()), "long")
-    return masked.select("p_partkey", left("height", "width", "masked").alias("ink_left"), left(*image).alias("ink"))
+    return streams._of_pages(spark, sf_dir, masked, "ink_left long, ink long")
 
 
 @query("img_22", "SELECT (p_partkey // 6)::BIGINT AS batch, least(1485, greatest(32, (max(p_size * 9) + 31) // 32 * 32))::INTEGER AS h, count(*)::BIGINT AS n FROM part GROUP BY ALL")
@@ -117,8 +108,8 @@ def img_22(spark, sf_dir):
 @query("mth_12")
 def mth_12(spark, sf_dir):
     """Mean of a page over its own background."""
-    p, image = _image(spark, sf_dir)
-    return p.select("p_partkey", F.round(X.over_images(lambda i: float(X.divide_background(i).mean()), "double")(*image), 3).alias("mean"))
+    p = streams._of_pages(spark, sf_dir, lambda i: (float(X.divide_background(i).mean()),), "mean double")
+    return p.withColumn("mean", F.round("mean", 3))
 
 
 @query("snk_04", notation._REPORT + "SELECT '{\"doc\":' || doc || ',\"notes\":' || notes || ',\"rests\":' || rests || '}' AS js FROM s")
