@@ -1,7 +1,11 @@
 """Texts and records written to files and read back."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from quirefold import plans
 from quirefold.sources import files
 
 
@@ -44,3 +48,36 @@ def test_pruning_deletes(spark, tmp_path):
     assert seen() == {("final", "b/1"): 3, ("raw", "c/1"): 0}
     files.prune(spark, folder, ("final", "raw"))
     assert seen() == {}
+
+
+ODD = [("a.md", "x\ny\n"), ("007", ""), ("p=1/%.md", "ünï\n\ncode"), ("..", None), ("a,1", "z"), ("twice", "one"), ("twice", "two"), ("twice", "two")]
+
+
+def test_one_file_each_in_folders_of_tasks(spark, tmp_path):
+    df = spark.createDataFrame(ODD, "name string, body string").union(spark.range(300).selectExpr("cast(id as string)", "repeat('é', int(id))"))
+    folder = files.write_texts(df, f"{tmp_path}/t")
+    want = sorted((r.name, r.body or "") for r in df.collect())
+    assert sorted(map(tuple, files.read_texts(spark, folder).collect())) == want
+    assert sorted((r.name, r.length) for r in files.listing(spark, folder).collect()) == sorted((n, len(b.encode())) for n, b in want)
+    top = os.listdir(folder)
+    assert all(x.startswith("part-") for x in top) and len(top) <= 4 and sum(len(os.listdir(f"{folder}/{x}")) for x in top) == len(want)
+    assert files.read_texts(spark, files.write_texts(df.limit(0), folder)).count() == 0  # written over
+
+
+def test_a_task_that_fails_leaves_nothing(spark, tmp_path):
+    df = spark.range(40).coalesce(1).selectExpr("cast(id as string) as name", "if(id = 39, raise_error('lost'), 'x') as body")
+    with pytest.raises(Exception, match="lost"):
+        files.write_texts(df, f"{tmp_path}/t")
+    assert os.listdir(f"{tmp_path}/t") == []
+
+
+def test_stores_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_mounted", lambda *_: None)
+    test_texts_round_trip(spark, tmp_path)
+    test_pruning_deletes(spark, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["src_09"])
+def test_the_driver_sees_no_single_files(spark, name):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FileScan text" not in plan and "FileScan binaryFile" not in plan
