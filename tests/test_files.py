@@ -77,7 +77,7 @@ def test_stores_that_only_spark_reaches(spark, tmp_path, monkeypatch):
     test_pruning_deletes(spark, tmp_path)
 
 
-@pytest.mark.parametrize("name", ["src_09", "snk_02", "snk_06", "src_10"])
+@pytest.mark.parametrize("name", ["src_09", "src_08", "snk_02", "snk_06", "src_10"])
 def test_the_driver_sees_no_single_files(spark, name):
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FileScan text" not in plan and "FileScan binaryFile" not in plan
