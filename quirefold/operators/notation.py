@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kern import beats, expected_beats, pitch
+from ..functions.rounding import round_even
 from ..functions.text import strip
 
 
@@ -35,9 +36,9 @@ def voices(lines: DataFrame) -> DataFrame:
 
 def measures(voice: DataFrame) -> DataFrame:
     """(doc, measure, last, beats, desync): the first voice's beats, and whether active voices differ by over 0.35."""
-    active = F.when(F.col("beats") > 0, F.bround("beats", 3))
+    active = F.when(F.col("beats") > 0, round_even(F.col("beats"), 3))
     per = voice.groupBy("doc", "bars").agg(
-        F.bround(F.sum(F.when(F.col("spine") == 0, F.col("beats"))), 3).alias("beats"),
+        round_even(F.sum(F.when(F.col("spine") == 0, F.col("beats"))), 3).alias("beats"),
         ((F.max("spine") > 0) & (F.count(active) > 1) & (F.max(active) - F.min(active) > 0.35)).alias("desync"),
     )
     order = Window.partitionBy("doc").orderBy("bars")
@@ -64,7 +65,7 @@ def _header(lines: DataFrame) -> DataFrame:
 
 def common_beats(per_measure: DataFrame) -> DataFrame:
     """(doc, common, times): the most frequent rounded duration, the first seen of equals."""
-    rounded = per_measure.where("beats > 0").withColumn("b", F.bround("beats", 1))
+    rounded = per_measure.where("beats > 0").withColumn("b", round_even(F.col("beats"), 1))
     counted = rounded.groupBy("doc", "b").agg(F.count("*").alias("n"), F.min("measure").alias("at"))
     return counted.groupBy("doc").agg(F.max_by("b", F.struct("n", -F.col("at"))).alias("common"), F.max("n").alias("times"))
 

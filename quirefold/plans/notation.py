@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kern as K
+from ..functions.rounding import round_even
 from ..operators import notation as N
 from .registry import query, table
 
@@ -62,7 +63,7 @@ def agg_07(spark, sf_dir):
 def flt_12(spark, sf_dir):
     """Report row class."""
     r = N.validate(kern_docs(spark, sf_dir))
-    pct = F.bround(F.col("score") * 100, 0)
+    pct = round_even(F.col("score") * 100, 0)
     return r.select("doc", (F.col("is_valid") & (F.size("anomalies") == 0)).alias("clean"), F.when(pct >= 85, "good").when(pct >= 65, "fair").otherwise("poor").alias("badge"))
 
 

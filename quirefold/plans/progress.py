@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import rounding as R
 from ..sources import files
 from .registry import query, shared, table
 
@@ -28,17 +29,17 @@ def agg_03(spark, sf_dir):
 def agg_04(spark, sf_dir):
     """Weighted progress of a book, and of the queue when it has come to it."""
     p = phases(spark, sf_dir)
-    share = lambda c: 100 * F.col(c) / F.col("total")
-    p = p.select("book", F.bround(0.3 * share("sliced") + 0.3 * share("omr") + 0.4 * share("vlm"), 1).alias("pct"))
+    share = lambda weight, c: F.lit(weight) * 100 * F.col(c) / F.col("total")
+    p = p.select("book", R.round_even(share(0.3, "sliced") + share(0.3, "omr") + share(0.4, "vlm"), 1).alias("pct"))
     # the place in the queue: counts by blocks of books first, so that no task orders the whole queue
     block = F.expr("book div 1000")
-    place = F.row_number().over(Window.partitionBy("block").orderBy("book"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy(F.asc_nulls_last("book")))
     counts = p.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
-    before = counts.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = counts.select(F.col("block").alias("b"), F.coalesce(F.sum("n").over(Window.orderBy(F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     total = counts.agg(F.sum("n").alias("total"))
-    x = p.withColumn("block", block).withColumn("own", place).join(F.broadcast(before), "block").join(F.broadcast(total))
+    x = p.withColumn("block", block).withColumn("own", place).join(F.broadcast(before), F.col("block").eqNullSafe(F.col("b"))).join(F.broadcast(total))
     queue = (F.col("before") + F.col("own") - 1 + F.col("pct") / 100) / F.col("total") * 100
-    return x.select("book", "pct", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), queue)), 4).alias("queue_pct"))
+    return x.select("book", "pct", R.round_half(F.least(F.lit(100.0), F.greatest(F.lit(0.0), queue)), 4).alias("queue_pct"))
 
 
 @query("stm_03", f"WITH {_PHASE} SELECT book, sliced >= total AND total > 0 AS slicing_done, sliced = 0 OR omr >= sliced AS omr_done, sliced > 0 AND vlm >= sliced AS vlm_done, CASE WHEN sliced > 0 AND vlm >= sliced THEN 'completed' WHEN sliced > 0 THEN 'in_progress' ELSE 'pending' END AS status FROM ph")
@@ -138,7 +139,7 @@ _PRUNE = "WHERE doc_id % 3 <> 0"
 def agg_20(spark, sf_dir):
     """Freed files and bytes by book, and over all."""
     d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return d.rollup("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("freed")).select(F.coalesce("source", F.lit("(all)")).alias("book"), "files", "freed", F.bround(F.col("freed") / 1048576.0, 2).alias("mb"))
+    return d.rollup("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("freed")).select(F.coalesce("source", F.lit("(all)")).alias("book"), "files", "freed", R.round_even(F.col("freed") / 1048576.0, 2).alias("mb"))
 
 
 @query("flt_11", "SELECT doc_id FROM documents WHERE n_chars * 1024 > 1048576")
@@ -159,7 +160,7 @@ def src_10(spark, sf_dir):
 def agg_21(spark, sf_dir):
     """Use of a project's processes: CPU as a share of 16 cores, resident memory in MB (order lines as processes)."""
     p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("project"))
-    return p.agg(F.count("*").alias("processes"), F.bround(F.sum("l_quantity") / 16, 1).alias("cpu_percent"), F.bround(F.sum(F.col("l_partkey") * 1024) / 1048576, 1).alias("rss_mb"))
+    return p.agg(F.count("*").alias("processes"), R.round_even(F.sum("l_quantity") / 16, 1).alias("cpu_percent"), R.round_even(F.sum(F.col("l_partkey") * 1024) / 1048576, 1).alias("rss_mb"))
 
 
 @query("top_02", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 300")
@@ -192,7 +193,7 @@ def dat_01(spark, sf_dir):
 def dat_02(spark, sf_dir):
     """Elapsed seconds to one place."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bround((micros(F.max("ts")) - micros(F.min("ts"))) / 1000000.0, 1).alias("elapsed"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(R.round_even((micros(F.max("ts")) - micros(F.min("ts"))) / 1000000.0, 1).alias("elapsed"))
 
 
 @query("win_25", "WITH e AS (SELECT user_id, event_id, value, epoch_us(ts) / 1000000::DOUBLE AS t, lag(epoch_us(ts) / 1000000::DOUBLE) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT event_id, round(value / (t - p), 9)::DOUBLE AS rate FROM e WHERE t - p >= 0.5")
