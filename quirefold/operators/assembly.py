@@ -12,13 +12,16 @@ def resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """The best file for each wanted (page, stub): the name itself, then one that ends in it, then in its P-part.
 
     Equal ranks fall to the first name.  files: (page, name, body).  Joins are on page
-    and on equality of derived suffix keys, never on a scan of all names.
+    and on equality of derived suffix keys, never on a scan of all names.  A name gives its
+    endings of the lengths that its page looks for only, and is never broadcast: the planner
+    takes endings for no more than the names they come from.
     """
     tail = F.regexp_extract("stub", r"(P\d+.*)$", 1)
     keyed = wanted.select("page", "stub", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("stub").alias("key")), F.struct(F.lit(2).alias("rank"), F.col("stub").alias("key")), F.struct(F.lit(3).alias("rank"), F.nullif(tail, F.lit("")).alias("key")))).alias("k")).select("page", "stub", "k.rank", "k.key")
-    ends = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), i, F.length("name")))
-    suffixes = files.select("page", "name", "body", F.explode(ends).alias("key"))
-    found = keyed.join(suffixes, ["page", "key"]).where("rank > 1 or name = key")
+    lengths = keyed.where("key is not null").groupBy("page").agg(F.collect_set(F.length("key")).alias("lengths"))
+    ends = F.transform(F.filter("lengths", lambda n: n.between(1, F.length("name"))), lambda n: F.right("name", n))
+    suffixes = files.join(lengths.hint("merge"), "page").select("page", "name", "body", F.explode(ends).alias("key"))
+    found = keyed.join(suffixes.hint("merge"), ["page", "key"]).where("rank > 1 or name = key")
     first = F.row_number().over(Window.partitionBy("page", "stub").orderBy("rank", "name"))
     return found.withColumn("nth", first).where("nth = 1").select("page", "stub", "name", "rank", "body")
 
