@@ -1,6 +1,8 @@
 """Text rules as column expressions, and the sequential loop cutter as a pandas UDF."""
 
+import heapq
 import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ def strip_fences(text: Column) -> Column:
 
 def cut_inline_loops(text: Column) -> Column:
     """A phrase of 12 to 120 characters that stands three times or more in a row stays twice."""
-    return F.regexp_replace(text, r"([^\n]{12,120}?)\1{2,}", "$1$1")
+    return over_texts(text, lambda texts: [phrases_cut(t, p) if p else t for t, p in zip(texts, loop_lengths(texts), strict=True)])
 
 
 def streaming_loop(tail: Column) -> Column:
@@ -114,12 +116,41 @@ def stays_in_cycles(lines: np.ndarray, filled: np.ndarray, most: int = 2) -> np.
     return out
 
 
-def loops_cut(text: str | None, most: int = 2, phrases: bool = True) -> str | None:
-    """All three passes in order: phrases, lines, blocks."""
+def phrases_cut(text: str, lengths: list[int], most: int = 2) -> str:
+    """re.sub(r"([^\\n]{12,120}?)\\1{2,}", ...) with phrases of the given lengths, in ascending order, held to `most`.
+
+    A run of places that equal those p behind them, 2 p long or longer, is where phrases of p characters
+    match. The leftmost match counts, of several there the shortest, and it takes all its repeats.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    runs = []
+    for p in lengths:
+        breaks = np.concatenate(([-1], np.flatnonzero(codes[p:] != codes[:-p]), [max(0, len(codes) - p)]))
+        for i in np.flatnonzero(np.diff(breaks) > 2 * p).tolist():
+            first, end = int(breaks[i]) + 1, int(breaks[i + 1])
+            if (codes[first : first + p] != 10).all():
+                runs.append((first, p, end))
+    heapq.heapify(runs)
+    out, free = [], 0
+    while runs:
+        first, p, end = heapq.heappop(runs)
+        if first < free:
+            if free + 2 * p <= end:
+                heapq.heappush(runs, (free, p, end))
+            continue
+        out.append(text[max(0, free) : first + most * p])
+        free = first + ((end - first) // p + 1) * p
+    return "".join([*out, text[free:]])
+
+
+def loops_cut(text: str | None, most: int = 2, lengths: list[int] | None = None) -> str | None:
+    """All three passes in order: phrases (of the given lengths, or of any), lines, blocks."""
     if not text:
         return text
-    if phrases:
+    if lengths is None:
         text = re.sub(r"([^\n]{12,120}?)\1{2,}", lambda m: m[1] * most, text)
+    elif lengths:
+        text = phrases_cut(text, lengths, most)
     lines = text.splitlines()
     bodies = [x.strip() for x in lines]
     seen = {x: i for i, x in enumerate(bodies)}
@@ -138,29 +169,54 @@ def cut_loops(text: Column) -> Column:
     return F.pandas_udf(_cut_batch, "string")(text)
 
 
-def may_loop(texts: list[str]) -> np.ndarray:
-    """Whether the phrase pass can find anything in each text: never false where it does.
+def loop_lengths(texts: list[str]) -> list[list[int]]:
+    """Lengths of phrases that the phrase pass may find in each text, ascending: none is missing that it does find.
 
     A phrase of p characters three times over is a run of 2 p characters that are equal to
     those p behind them, so five places in a row, p // 3 apart, are.
     """
     codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends, found = np.cumsum([len(t) + 1 for t in texts]), np.zeros(len(texts), bool)
+    ends, found = np.cumsum([len(t) + 1 for t in texts]), [[] for _ in texts]
     for p in range(12, min(121, len(codes))):
         same = codes[: -p : p // 3] == codes[p :: p // 3]
         run = np.flatnonzero(same[:-4] & same[1:-3] & same[2:-2] & same[3:-1] & same[4:])
-        found[np.searchsorted(ends, run * (p // 3), "right")] = True
+        if len(run):
+            for i in np.unique(np.searchsorted(ends, run * (p // 3), "right")).tolist():
+                found[i].append(p)
     return found
 
 
-def _cut_batch(s: pd.Series) -> pd.Series:
-    out, block, size = [], [], 0
-    for text in [*s, None]:
-        if isinstance(text, str):
-            size += len(text)
-        block.append(text)
-        if size > 1 << 18 or len(block) > 256 or len(out) + len(block) > len(s):
-            looks = may_loop([t if isinstance(t, str) else "" for t in block])
-            out += [loops_cut(t, phrases=f) if isinstance(t, str) else None for t, f in zip(block, looks.tolist(), strict=True)]
+def _by_blocks(texts: Iterable, fn: Callable[[list[str]], list[str]]) -> Iterator[list]:
+    """Results of fn over blocks of bounded size; nulls stay."""
+    block, size = [], 0
+    for text in texts:
+        block.append(text if isinstance(text, str) else None)
+        size += len(block[-1] or "")
+        if size > 1 << 18 or len(block) >= 256:
+            yield _block(block, fn)
             block, size = [], 0
-    return pd.Series(out[: len(s)], index=s.index, dtype=object)
+    if block:
+        yield _block(block, fn)
+
+
+def _block(block: list, fn: Callable[[list[str]], list[str]]) -> list:
+    done = fn([t or "" for t in block])
+    return [None if t is None else d for t, d in zip(block, done, strict=True)]
+
+
+def over_texts(text: Column, fn: Callable[[list[str]], list[str]]) -> Column:
+    """fn of blocks of texts as a column."""
+
+    def batch(s: pd.Series) -> pd.Series:
+        return pd.Series([t for b in _by_blocks(s, fn) for t in b], index=s.index, dtype=object)
+
+    batch.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "string")(text)
+
+
+def _cut_all(texts: list[str]) -> list[str]:
+    return [loops_cut(t, lengths=p) for t, p in zip(texts, loop_lengths(texts), strict=True)]
+
+
+def _cut_batch(s: pd.Series) -> pd.Series:
+    return pd.Series([t for b in _by_blocks(s, _cut_all) for t in b], index=s.index, dtype=object)
