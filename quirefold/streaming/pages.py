@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,34 +31,46 @@ def files(spark, path: str, schema, most_files: int = BATCH) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(path)
 
 
-SKIP = "book long, p int, action string"
+SKIP, BUCKETS = "book long, p int, action string", 1024
 
 
 def _skip(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    started, latched = state.get if state.exists else (False, False)
-    for b in batches:
-        rows = []
-        for r in b.sort_values("p").itertuples():
-            front = max(5, int(r.n) * 15 // 100)
-            back = max(front + 1, int(r.n) - int(r.n) * 12 // 100 + 1)
-            early = not started and r.p <= front
-            if r.cnt > 0:
-                started, action = True, "keep"
-            elif early:
-                action = "front"
-            elif r.p >= back:
-                latched |= bool(r.multi)
-                action = "back" if latched else "keep"
-            else:
-                action = "keep"
-            rows.append((key[0], int(r.p), action))
-        yield pd.DataFrame(rows, columns=["book", "p", "action"])
-    state.update((started, latched))
+    """The pages of a bucket's books; state: books, and for each 1 if it has started, 2 if it is latched."""
+    rows = pd.concat(batches, ignore_index=True)
+    seen = dict(zip(*json.loads(state.get[0]), strict=True)) if state.exists else {}
+    order = np.lexsort((rows["p"], rows["book"], rows["none"]))
+    none, book, p, n, music = (rows[c].to_numpy()[order] for c in ("none", "book", "p", "n", "cnt"))
+    music, multi = music > 0, rows["multi"].eq(True).to_numpy(bool)[order]
+    opens = np.append(True, (book[1:] != book[:-1]) | (none[1:] != none[:-1]))
+    first, of = np.flatnonzero(opens), opens.cumsum() - 1
+    books = [None if x else k for x, k in zip(none[first].tolist(), book[first].tolist(), strict=True)]
+    had = np.array([seen.get(k, 0) for k in books])
+
+    def so_far(hit):
+        """How often in a book's pages up to each one."""
+        n = hit.cumsum()
+        return n - (n - hit)[first][of]
+
+    started = (so_far(music) - music > 0) | (had & 1 > 0)[of]
+    front = np.maximum(5, n * 15 // 100)
+    early = ~music & ~started & (p <= front)
+    late = ~music & ~early & (p >= np.maximum(front + 1, n - n * 12 // 100 + 1))
+    latched = (so_far(late & multi) > 0) | (had & 2 > 0)[of]
+    last = np.append(first[1:], len(p)) - 1
+    seen.update(zip(books, ((started | music)[last] + 2 * latched[last]).tolist(), strict=True))
+    state.update((json.dumps([list(seen), list(seen.values())]),))
+    action = np.where(early, "front", np.where(late & latched, "back", "keep"))
+    yield pd.DataFrame({"book": pd.Series(book, dtype="Int64").mask(pd.Series(none)), "p": p, "action": action})
 
 
 def page_filter(pages: DataFrame) -> DataFrame:
-    """The batch filter's two latches as state of each book. pages: (book, p, n, cnt, multi), in page order."""
-    return pages.groupBy("book").applyInPandasWithState(_skip, SKIP, "started boolean, latched boolean", "append", GroupStateTimeout.NoTimeout)
+    """The batch filter's two latches as state of each book. pages: (book, p, n, cnt, multi), in page order.
+
+    A call for each book would cost more than its pages, so books are dealt to buckets; a bucket's
+    pages of one micro-batch are held at once.
+    """
+    dealt = pages.select(F.pmod(F.hash("book"), F.lit(BUCKETS)).alias("bucket"), F.col("book").isNull().alias("none"), F.coalesce("book", F.lit(0)).cast("long").alias("book"), "p", "n", "cnt", "multi")
+    return dealt.groupBy("bucket").applyInPandasWithState(_skip, SKIP, "seen string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _stop(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
