@@ -63,10 +63,13 @@ def by_page(boxes: DataFrame, fn: Callable[[list[dict]], list[dict]]) -> DataFra
     """Apply fn to the boxes of each page (few by nature), streaming over partitions dealt and sorted by page."""
     kind = to_arrow_schema(boxes.schema)
 
+    names = boxes.columns
+
     def run(batches):
         def rows():
             for b in batches:
-                yield from b.to_pylist()
+                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    yield dict(zip(names, r, strict=True))
 
         out = []
         for _, page in groupby(rows(), key=lambda r: r["page"]):
@@ -80,8 +83,8 @@ def by_page(boxes: DataFrame, fn: Callable[[list[dict]], list[dict]]) -> DataFra
     return boxes.repartition("page").sortWithinPartitions("page").mapInArrow(run, boxes.schema)
 
 
-def suppress(boxes: DataFrame, most: float = 0.5) -> DataFrame:
-    """Greedy suppression by page: boxes in order of confidence stay if they overlap none that stayed by over `most`."""
+def suppressed(most: float = 0.5) -> Callable[[list[dict]], list[dict]]:
+    """Greedy suppression of a page: boxes in order of confidence stay if they overlap none that stayed by over `most`."""
 
     def page(rows):
         kept = []
@@ -90,7 +93,11 @@ def suppress(boxes: DataFrame, most: float = 0.5) -> DataFrame:
                 kept.append(r)
         return kept
 
-    return by_page(boxes, page)
+    return page
+
+
+def suppress(boxes: DataFrame, most: float = 0.5) -> DataFrame:
+    return by_page(boxes, suppressed(most))
 
 
 def _iou(a: dict, b: dict) -> float:
@@ -100,7 +107,7 @@ def _iou(a: dict, b: dict) -> float:
     return w * h / ((a["x2"] - a["x1"]) * (a["y2"] - a["y1"]) + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]) - w * h)
 
 
-def heal(boxes: DataFrame, overlap: float = 0.55, least_gap: int = 40) -> DataFrame:
+def healed(overlap: float = 0.55, least_gap: int = 40) -> Callable[[list[dict]], list[dict]]:
     """Boxes of one class on one line, close side by side, become one; a grown box goes on growing."""
 
     def page(rows):
@@ -114,19 +121,24 @@ def heal(boxes: DataFrame, overlap: float = 0.55, least_gap: int = 40) -> DataFr
             out.append(cur)
         return out
 
-    return by_page(boxes, page)
+    return page
+
+
+def heal(boxes: DataFrame, overlap: float = 0.55, least_gap: int = 40) -> DataFrame:
+    return by_page(boxes, healed(overlap, least_gap))
 
 
 def _in_line(a: dict, b: dict, overlap: float, most: int) -> bool:
+    if a["cls"] != b["cls"] or max(a["x1"], b["x1"]) - min(a["x2"], b["x2"]) > most:
+        return False
     ha, hb = a["y2"] - a["y1"], b["y2"] - b["y1"]
     shared = min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
     level = abs((a["y1"] + a["y2"]) - (b["y1"] + b["y2"])) / 2
-    gap = max(a["x1"], b["x1"]) - min(a["x2"], b["x2"])
     tall = max(ha, hb)
-    return a["cls"] == b["cls"] and shared / max(1, min(ha, hb)) >= overlap and abs(ha - hb) <= max(10, 0.3 * tall) and level <= max(8, 0.2 * tall) and gap <= most
+    return shared / max(1, min(ha, hb)) >= overlap and abs(ha - hb) <= max(10, 0.3 * tall) and level <= max(8, 0.2 * tall)
 
 
-def pad(boxes: DataFrame, spacing: float = 8.5) -> DataFrame:
+def padded(spacing: float = 8.5) -> Callable[[list[dict]], list[dict]]:
     """Vertical padding of each block, held off the blocks above (as padded) and below that share its columns."""
     want = int(min(16, max(6, 0.8 * spacing)))
 
@@ -139,6 +151,22 @@ def pad(boxes: DataFrame, spacing: float = 8.5) -> DataFrame:
             done.append({**r, "y1": top, "y2": low})
         return done
 
+    return page
+
+
+def pad(boxes: DataFrame, spacing: float = 8.5) -> DataFrame:
+    return by_page(boxes, padded(spacing))
+
+
+def resolve(boxes: DataFrame) -> DataFrame:
+    """Suppression, healing and padding of a page's boxes, one after the other, in one pass over the pages."""
+    steps = (suppressed(), healed(), padded())
+
+    def page(rows):
+        for step in steps:
+            rows = step(rows)
+        return rows
+
     return by_page(boxes, page)
 
 
